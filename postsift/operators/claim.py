@@ -1,7 +1,7 @@
 """Order-dependent row selection without sorting a whole group in one task.
 
 Arrival order is explicit data: ``arrival`` packs profile, source and position into
-one BIGINT. Keep-first and keep-last are ``min_by`` / ``max_by`` aggregations, so map
+one DECIMAL(38,0). Keep-first and keep-last are ``min_by`` / ``max_by`` aggregations, so map
 tasks reduce each key to one row before the shuffle and a key holding a third of all
 rows costs no more than any other.
 """
@@ -11,16 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SEQ_BITS, _PLATFORM_BITS = 40, 8
+_ARRIVAL = "decimal(38,0)"
 
 
 def arrival_key(profile_ord: Column, platform_ord: Column, seq: Column) -> Column:
-    """Profile, then source, then position. Positions must stay under 2**40."""
-    fits = seq.between(0, (1 << _SEQ_BITS) - 1) & platform_ord.between(0, (1 << _PLATFORM_BITS) - 1)
-    packed = (F.shiftleft(profile_ord.cast("bigint"), _SEQ_BITS + _PLATFORM_BITS)
-              + F.shiftleft(platform_ord.cast("bigint"), _SEQ_BITS) + seq.cast("bigint"))
-    return F.when(fits, packed).otherwise(
-        F.raise_error(F.lit("arrival position out of range")).cast("bigint"))
+    """Profile, then source, then position; a BIGINT position always fits below 10**19."""
+    return (profile_ord.cast("decimal(14,0)") * F.lit(10**23).cast("decimal(24,0)")
+            + platform_ord.cast("decimal(4,0)") * F.lit(10**19).cast("decimal(20,0)")
+            + seq.cast("decimal(19,0)")).cast(_ARRIVAL)
 
 
 def _row_of(df: DataFrame, keys: list[str]) -> Column:
