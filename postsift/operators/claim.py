@@ -8,6 +8,8 @@ rows costs no more than any other.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ _ARRIVAL = "decimal(38,0)"
 
 def arrival_key(profile_ord: Column, platform_ord: Column, seq: Column) -> Column:
     """Profile, then source, then position; a BIGINT position always fits below 10**19."""
-    return (profile_ord.cast("decimal(14,0)") * F.lit(10**23).cast("decimal(24,0)")
-            + platform_ord.cast("decimal(4,0)") * F.lit(10**19).cast("decimal(20,0)")
+    return (profile_ord.cast("decimal(14,0)") * F.lit(Decimal(10**23))
+            + platform_ord.cast("decimal(4,0)") * F.lit(Decimal(10**19))
             + seq.cast("decimal(19,0)")).cast(_ARRIVAL)
 
 
