@@ -124,7 +124,7 @@ PROFILES = """profiles AS (
      []::VARCHAR[], ['berlin'], 600.0::DOUBLE),
     (1, 'Paris', ['ejobs', 'linkedin'], [0, 1], ['the', 'DE', 'la', 'un'], []::VARCHAR[],
      []::VARCHAR[], []::VARCHAR[], ['company EN', 'company fr'], []::VARCHAR[],
-     ['paris', 'remote'], []::VARCHAR[], 650.0::DOUBLE),
+     ['REMOTE'], []::VARCHAR[], 650.0::DOUBLE),
     (3, 'Everything', ['linkedin', 'ejobs', 'bestjobs', 'hipo', 'stagiipebune', 'ats', 'jobicy',
       'remoteok', 'arbeitnow'], [0, 1, 2, 3, 4, 5, 6, 7, 8], []::VARCHAR[], []::VARCHAR[],
      ['and', 'der', 'la'], []::VARCHAR[], []::VARCHAR[], []::VARCHAR[],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postsift.functions.text import clean_text, workplace_type
 from postsift.schema import CARDS_PER_PAGE, PLATFORM_ICONS, PLATFORM_NAMES, Settings
+from postsift.session import ship_package
 from postsift.sources.profiles import profiles_from_searches
 
 SETTINGS = Settings(default_route="https://hooks.example.com/default",
@@ -31,7 +32,7 @@ SEARCHES = [
      "keywords": "helpdesk",
      "filters": {"title_must_include": ["the", "DE", "la", "un"],
                  "companies_include": ["company EN", "company fr"],
-                 "location_must_include": ["paris", "remote"],
+                 "location_must_include": ["REMOTE"],
                  "max_age_hours": 650.0}},
     {"name": "Closed", "enabled": False, "platforms": ["linkedin"]},
     {"name": "Everything", "webhook_url": "https://hooks.example.com/YOUR_WEBHOOK",
@@ -43,6 +44,7 @@ BOARDS = ["linkedin", "ejobs", "jobicy", "arbeitnow"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,23 @@ def build_session(app: str = "postsift", master: str | None = None,
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors, once per application.
+
+    Python functions are sent by reference, so workers must be able to import the
+    package wherever the driver was started from.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="postsift-package-")) / "postsift"
+        context.addPyFile(shutil.make_archive(str(archive), "zip", root.parent, root.name))
+        _shipped.add(context.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder named by the cluster.
 

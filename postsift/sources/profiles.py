@@ -73,8 +73,10 @@ def profiles_from_json(documents: DataFrame, order: str, json_column: str) -> Da
 
 
 def profiles_from_searches(spark: SparkSession, searches: list[dict]) -> DataFrame:
-    rows = [(i, json.dumps(search)) for i, search in enumerate(searches)]
-    table = spark.createDataFrame(rows, "ord int, body string")
+    # Literals of one row, so that the optimizer sees the whole table and no Python runs.
+    bodies = F.array(*[F.lit(json.dumps(search)) for search in searches])
+    table = spark.range(1, numPartitions=1).select(
+        F.posexplode(bodies.cast("array<string>")).alias("ord", "body"))
     return profiles_from_json(table, "ord", "body")
 
 
