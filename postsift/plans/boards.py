@@ -11,6 +11,7 @@ from postsift.plans import reference_sql as sql
 from postsift.plans import views
 from postsift.plans.registry import query
 from postsift.schema import CARDS_PER_PAGE
+from postsift.session import spread
 from postsift.sources import boards, html, json_boards
 from postsift.sources import profiles as profile_source
 from postsift.sources.registry import union_sources
@@ -19,7 +20,7 @@ WITH_POSTINGS = f"WITH {sql.POSTINGS} "
 
 
 def page_payloads(spark, sf_dir: str) -> DataFrame:
-    return views.load(spark, sf_dir, "pages").select(
+    return spread(views.load(spark, sf_dir, "pages")).select(
         "page_id", F.col("page_id").alias("payload_seq"), "url", F.col("html").alias("body"),
         F.lit("Everything").alias("search_name"), F.lit("Bucharest").alias("search_location"))
 
@@ -332,7 +333,7 @@ r AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(markup, '
   lambda t: t <> '') AS runs FROM s)
 SELECT page_id, array_to_string(runs, chr(10)) AS body FROM r""")
 def html_text(spark, sf_dir):
-    return views.load(spark, sf_dir, "pages").select(
+    return spread(views.load(spark, sf_dir, "pages")).select(
         "page_id", html.html_text(F.col("html")).alias("body"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postsift.functions.text import clean_text, workplace_type
 from postsift.schema import CARDS_PER_PAGE, PLATFORM_ICONS, PLATFORM_NAMES, Settings
-from postsift.session import ship_package
+from postsift.session import ship_package, spread
 from postsift.sources.profiles import profiles_from_searches
 
 SETTINGS = Settings(default_route="https://hooks.example.com/default",
@@ -55,7 +55,8 @@ def by_number(number, values):
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").withColumn("cleaned", clean_text(F.col("text")))
+    docs = spread(load(spark, sf_dir, "documents"))
+    docs = docs.withColumn("cleaned", clean_text(F.col("text")))
     n = F.col("doc_id")
     location = (F.when(F.col("lang") == "en", "Remote").when(F.col("lang") == "es", "Hybrid Madrid")
                 .when(F.col("lang") == "fr", "Paris").otherwise("Berlin"))

@@ -65,6 +65,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core before per-row work that is heavy.
+
+    A file of a single row group cannot be split, which would leave one core with all
+    of it. Large inputs already have more partitions than cores and pass unchanged, so
+    no shuffle is added to them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Hint a broadcast only when the side is counted to be within the limit.
 
