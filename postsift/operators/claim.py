@@ -62,13 +62,13 @@ def first_claims(scanned: DataFrame, state_ids: DataFrame) -> DataFrame:
 def page_cutoff(cards: DataFrame, pages: DataFrame, scan_keys: list[str]) -> DataFrame:
     """Cards of the pages before the first empty one of each scan.
 
-    ``pages`` has one row per fetched page with its card count. Page numbers start at
-    0; ``pages`` (the limit) stands on the page rows as ``max_pages``.
+    ``pages`` has one row per fetched page: ``page`` from 0, its card count ``cards``
+    and the scan's ``max_pages``, null for no limit.
     """
     stop = pages.groupBy(*scan_keys).agg(
         F.coalesce(F.min(F.when(F.col("cards") == 0, F.col("page"))),
                    F.lit(2**31 - 1)).alias("stop"),
-        F.max("max_pages").alias("max_pages"))
+        F.coalesce(F.max("max_pages"), F.lit(2**31 - 1)).alias("max_pages"))
     return (cards.join(stop, scan_keys)
             .filter((F.col("page") < F.col("stop")) & (F.col("page") < F.col("max_pages")))
             .drop("stop", "max_pages"))

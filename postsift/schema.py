@@ -123,6 +123,19 @@ LISTING = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
+# A landed response: who asked for it, which page it was, and its raw body.
+PAYLOAD = T.StructType([
+    T.StructField("payload_seq", T.LongType(), False),
+    T.StructField("platform_code", T.StringType(), False),
+    T.StructField("search_name", T.StringType()),
+    T.StructField("search_location", T.StringType()),
+    T.StructField("page", T.IntegerType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("ats", T.StringType()),
+    T.StructField("board", T.StringType()),
+    T.StructField("body", T.StringType()),
+])
+
 KEYWORD_FIELDS = [
     "title_must_include", "title_must_exclude",
     "description_must_include", "description_must_exclude",

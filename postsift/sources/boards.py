@@ -1,7 +1,7 @@
 """Listing extraction from landed web pages.
 
 Payload tables have ``payload_seq BIGINT, search_name, search_location, page INT, url,
-body``. One operator, ``extract_cards``, serves every board: a spec says which nodes
+body``. One operator, ``card_rows``, serves every board: a spec says which nodes
 are cards and how a card becomes a listing.
 """
 
@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsift.functions import text as tx
-from postsift.operators.claim import keep_first
+from postsift.operators.claim import keep_first, page_cutoff
 from postsift.schema import LISTING
+from postsift.session import broadcast_if_small, cut_lineage
 from postsift.sources import html as h
 from postsift.sources.registry import as_listing, register_source
 
@@ -67,14 +68,6 @@ def card_rows(payloads: DataFrame, spec: CardSpec, body: str = "body") -> DataFr
             .select("*", F.posexplode("cards").alias("pos", "card")).drop("cards"))
 
 
-def extract_cards(payloads: DataFrame, spec: CardSpec) -> DataFrame:
-    rows = card_rows(payloads, spec)
-    given = [f.name for f in LISTING.fields if f.name in rows.schema["card"].dataType.names]
-    return as_listing(rows, spec.code, **{name: F.col("card")[name] for name in given},
-                      matched_search_name="search_name",
-                      seq=payload_seq(F.col("payload_seq"), F.col("pos")))
-
-
 def absolute(base: str, href: Column) -> Column:
     return F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(base), href))
 
@@ -115,6 +108,8 @@ def _linkedin_fields(nodes: Column, card: Column) -> Fields:
     }
 
 
+_LINKEDIN_COLUMNS = ["id", "title", "company", "location", "job_url", "company_url", "logo_url",
+                     "post_date", "post_text", "workplace_type", "salary"]
 LINKEDIN = CardSpec("linkedin", h.tagged("div", "job-search-card"), _linkedin_fields,
                     lambda c: c["id"].isNotNull() & (c["title"] != ""))
 
@@ -148,8 +143,23 @@ def extract_details(payloads: DataFrame, body: str = "body") -> DataFrame:
 
 
 def linkedin(payloads: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Cards of every fetched page, the first of each id per search."""
-    listings = extract_cards(payloads, LINKEDIN)
+    """Cards of the pages before the first empty one, the first of each id per search.
+
+    The page limit is the profile's ``pages`` where it has been worked out, else its
+    ``max_pages``.
+    """
+    # Read for the page counts and for the cards: parsed once, not twice.
+    rows = cut_lineage(card_rows(payloads, LINKEDIN))
+    counts = rows.groupBy("search_name", "page").agg(F.count("*").alias("cards"))
+    limit = "pages" if "pages" in profiles.columns else "max_pages"
+    limits = profiles.select("search_name", F.col(limit).alias("max_pages"))
+    pages = (payloads.select("search_name", "page").distinct()
+             .join(counts, ["search_name", "page"], "left").fillna(0, ["cards"])
+             .join(broadcast_if_small(limits), "search_name", "left"))
+    kept = page_cutoff(rows, pages, ["search_name"])
+    listings = as_listing(kept, "linkedin", **{n: f"card.{n}" for n in _LINKEDIN_COLUMNS},
+                          matched_search_name="search_name",
+                          seq=payload_seq(F.col("payload_seq"), F.col("pos")))
     return keep_first(listings, ["matched_search_name", "id"], "seq").select(LISTING.names)
 
 
