@@ -23,7 +23,6 @@ from postsift.operators.state import StateTables, seen_versions
 from postsift.plans.scan import scan
 from postsift.schema import LISTING, SCAN_LOG, Settings
 from postsift.session import broadcast_if_small
-from postsift.sources import boards, json_boards  # noqa: F401  (register the sources)
 from postsift.sources.profiles import effective_pages
 from postsift.sources.registry import SOURCES, union_sources
 
