@@ -22,6 +22,7 @@ from postsift.schema import (
     STATE,
     STATE_LOG,
 )
+from postsift.session import broadcast_if_small
 
 
 def as_versions(rows: DataFrame, version_ts: Column, op_seq: int = 0,
@@ -33,14 +34,24 @@ def as_versions(rows: DataFrame, version_ts: Column, op_seq: int = 0,
             .select(STATE_LOG.names))
 
 
-def current_state(log: DataFrame) -> DataFrame:
-    """Latest version per id, removed ids left out."""
-    columns = [c for c in STATE.names if c != "job_id"] + ["deleted"]
-    latest = F.max_by(F.struct(*columns), F.struct("version_ts", "op_seq"))
+def current_state(log: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Latest version per id, removed ids left out; only the given columns if any."""
+    kept = [c for c in columns or STATE.names if c != "job_id"]
+    latest = F.max_by(F.struct(*kept, "deleted"), F.struct("version_ts", "op_seq"))
     return (log.groupBy("job_id").agg(latest.alias("v")).filter(~F.col("v.deleted"))
             .select("job_id", "v.*").drop("deleted"))
 
 
+def known_ids(log: DataFrame, listings: DataFrame) -> DataFrame:
+    """Ids of the listings that the state holds.
+
+    A batch is usually far smaller than the state: its ids are broadcast when they fit,
+    so that the log is filtered where it is read instead of being shuffled whole.
+    """
+    ids = broadcast_if_small(listings.select(F.col("id").alias("job_id")).distinct())
+    return current_state(log.join(ids, "job_id", "left_semi"), ["status"]).select("job_id")
+
+
 def seen_versions(outcomes: DataFrame, as_of: datetime, op_seq: int = 0) -> DataFrame:
     """Versions marking every evaluated listing as seen, whatever its outcome.
 
@@ -121,8 +132,8 @@ class StateTables:
     def state_log(self, before: int | None = None) -> DataFrame:
         return self._read("state", STATE_LOG, before)
 
-    def state(self, before: int | None = None) -> DataFrame:
-        return current_state(self.state_log(before))
+    def state(self, before: int | None = None, columns: list[str] | None = None) -> DataFrame:
+        return current_state(self.state_log(before), columns)
 
     def scans(self, before: int | None = None) -> DataFrame:
         return self._read("scans", SCAN_LOG, before)

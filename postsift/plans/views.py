@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postsift.functions.text import clean_text, workplace_type
 from postsift.schema import CARDS_PER_PAGE, PLATFORM_ICONS, PLATFORM_NAMES, Settings
-from postsift.session import ship_package, spread
+from postsift.session import configure, ship_package, spread
 from postsift.sources.profiles import profiles_from_searches
 
 SETTINGS = Settings(default_route="https://hooks.example.com/default",
@@ -45,7 +45,7 @@ BOARDS = ["linkedin", "ejobs", "jobicy", "arbeitnow"]
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship_package(spark)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    configure(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

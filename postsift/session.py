@@ -9,8 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only after it has been counted against this many rows.
-BROADCAST_ROW_LIMIT = 100_000
+# A side is broadcast only when both its rows and its bytes are counted to fit.
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "postsift", master: str | None = None,
@@ -21,6 +22,7 @@ def build_session(app: str = "postsift", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -76,10 +78,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only when the side is counted to be within the limit.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only when the side is measured to be within the bounds.
 
-    Past the limit no hint is given and the join shuffles on its keys, where
-    adaptive execution splits skewed partitions.
+    Past them no hint is given and the join shuffles on its keys, where adaptive
+    execution splits skewed partitions. The measurement reads at most ``rows + 1`` rows.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    count, size = df.limit(rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if count <= rows and (size or 0) <= BROADCAST_BYTES else df
+
+
+def configure(spark: SparkSession) -> None:
+    """Settings the plans rely on, for a session built elsewhere."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Pages and texts vary widely in size: bound what one Arrow batch holds by bytes.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))

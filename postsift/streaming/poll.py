@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,13 +20,21 @@ from pyspark.sql.types import StructType
 
 from postsift.operators.alerts import alert_bodies, alert_envelopes, write_alerts
 from postsift.operators.similar import greedy_dedup
-from postsift.operators.state import StateTables, seen_versions
+from postsift.operators.state import (
+    StateTables,
+    current_state,
+    known_ids,
+    seen_versions,
+)
 from postsift.plans.scan import scan
 from postsift.schema import LISTING, SCAN_LOG, Settings
 from postsift.session import broadcast_if_small
 from postsift.sources.profiles import effective_pages
 from postsift.sources.registry import SOURCES, union_sources
 
+# What similarity dedup reads of the state.
+_TITLE_COLUMNS = ["title", "company", "status", "discovered_at"]
+
 
 @dataclass
 class Poller:
@@ -47,9 +56,9 @@ class Poller:
         started = time.monotonic()
         as_of = self.as_of or datetime.now(timezone.utc)
         settings = replace(self.settings, as_of=as_of)
-        state = self.tables.state(before=batch_id)
-        cycle = scan(listings, self.profiles, state, settings, self.details, self.by_search,
-                     self.dedup)
+        log = self.tables.state_log(before=batch_id)
+        cycle = scan(listings, self.profiles, current_state(log, _TITLE_COLUMNS), settings,
+                     self.details, self.by_search, self.dedup, known_ids(log, listings))
         outcomes = cycle.outcomes.persist()
         try:
             columns = ["profile_ord", "embed_color", "webhook_url", "role_id_to_mention"]
@@ -70,7 +79,12 @@ class Poller:
         """One cycle from raw responses: extract every registered source first."""
         profiles = effective_pages(self.profiles, self.settings)
         landed = {code: payloads.filter(F.col("platform_code") == code) for code in SOURCES}
-        self.run(union_sources(landed, profiles), batch_id)
+        # Parsed once: counted, matched against state and judged from the copy on disk.
+        listings = union_sources(landed, profiles).persist(StorageLevel.DISK_ONLY)
+        try:
+            self.run(listings, batch_id)
+        finally:
+            listings.unpersist()
 
 
 def landed_files(spark: SparkSession, path: str, schema: StructType = LISTING,
