@@ -22,7 +22,6 @@ def build_session(app: str = "postsift", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -92,5 +91,3 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def configure(spark: SparkSession) -> None:
     """Settings the plans rely on, for a session built elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # Pages and texts vary widely in size: bound what one Arrow batch holds by bytes.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
