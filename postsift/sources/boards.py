@@ -65,7 +65,8 @@ def card_rows(payloads: DataFrame, spec: CardSpec, body: str = "body") -> DataFr
         cards = _unique(cards, spec.unique_by, spec.keep_last)
     return (payloads.withColumn("nodes", h.page_nodes(F.col(body)))
             .withColumn("cards", cards).drop("nodes", body)
-            .select("*", F.posexplode("cards").alias("pos", "card")).drop("cards"))
+            .select("*", F.posexplode_outer("cards").alias("pos", "card")).drop("cards")
+            .filter("pos IS NOT NULL"))
 
 
 def absolute(base: str, href: Column) -> Column:

@@ -91,11 +91,20 @@ def _nodes(markup: str | None) -> list[dict]:
 
 
 @F.pandas_udf(NODES)
-def page_nodes(html: pd.Series) -> pd.Series:
-    """Nodes of each page; a page that cannot be read has none."""
+def _page_nodes(html: pd.Series) -> pd.Series:
     return html.map(_nodes)
 
 
+# Marked so that the optimizer keeps it in one place: a filter or an explode over what is
+# selected from the nodes would otherwise be pushed below and parse every page again.
+_parse_once = _page_nodes.asNondeterministic()
+
+
+def page_nodes(html: Column | str) -> Column:
+    """Nodes of each page; a page that cannot be read has none."""
+    return _parse_once(html)
+
+
 Test = Callable[[Column], Column]
 
 

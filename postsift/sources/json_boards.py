@@ -35,8 +35,9 @@ def items_of(payloads: DataFrame, item: str, field: str | None) -> DataFrame:
         raw = F.from_json("body", f"{field} array<string>")[field]
     else:
         raw = F.from_json("body", "array<string>")
+    # The outer form: a plain explode adds a filter below it that parses the body again.
     return (payloads.withColumn("raw", raw).drop("body")
-            .select("*", F.size("raw").alias("n_items"), F.posexplode("raw").alias("pos", "one"))
+            .select("*", F.posexplode_outer("raw").alias("pos", "one"))
             .filter(F.startswith(F.ltrim("one"), F.lit("{")))
             .withColumn("item", F.from_json("one", item)).drop("raw", "one"))
 
