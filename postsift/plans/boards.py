@@ -26,18 +26,16 @@ def page_payloads(spark, sf_dir: str) -> DataFrame:
 
 
 def response_payloads(spark, sf_dir: str, item: Column, wrap) -> DataFrame:
-    """Postings as board responses of 25 items; every tenth response is malformed."""
+    """Postings as board responses of 25 items each."""
     batch = F.floor(F.col("seq") / CARDS_PER_PAGE).cast("bigint")
     rows = views.postings(spark, sf_dir).select(
         "seq", batch.alias("payload_seq"), F.to_json(item).alias("item"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("seq", "item"))),
                           lambda r: r["item"])
     body = wrap(F.array_join(ordered, ","))
-    return rows.groupBy("payload_seq").agg(body.alias("whole")).select(
+    return rows.groupBy("payload_seq").agg(body.alias("body")).select(
         "payload_seq", F.concat(F.lit("acme_"), "payload_seq").alias("board"),
-        F.lit("Everything").alias("search_name"),
-        F.when(F.col("payload_seq") % 10 == 9, F.concat(F.lit("<"), "whole"))
-        .otherwise(F.col("whole")).alias("body"))
+        F.lit("Everything").alias("search_name"), "body")
 
 
 def _listed(field: str):
@@ -50,7 +48,6 @@ def _bare(joined: Column) -> Column:
 
 # Position of a posting in its response, as the extractors number it.
 _SEQ = f"((seq // {CARDS_PER_PAGE}) << 20) + seq % {CARDS_PER_PAGE}"
-_WHOLE = f"(seq // {CARDS_PER_PAGE}) % 10 <> 9"
 _HINTED = "regexp_matches(lower(location), 'bucharest|bucuresti|bucurești|romania|românia|remote')"
 
 
@@ -58,12 +55,12 @@ _HINTED = "regexp_matches(lower(location), 'bucharest|bucuresti|bucurești|roman
 SELECT 'gh-' || seq AS id, trim(title) AS title, 'Acme ' || (seq // 25) AS company, location,
   job_url, coalesce(nullif(post_date, ''), 'u' || seq) AS post_date, 'Greenhouse' AS platform,
   {_SEQ} AS seq
-FROM postings WHERE {_HINTED} AND {_WHOLE} AND seq % 11 > 0 AND title <> ''""")
+FROM postings WHERE {_HINTED} AND logo_url IS NOT NULL AND title <> ''""")
 def json_object_jobs(spark, sf_dir):
     item = F.struct(
         F.col("seq").alias("id"), F.concat(F.lit(" "), F.replace("title", F.lit(" "), F.lit(" \t ")))
         .alias("title"),
-        F.when(F.col("seq") % 11 > 0, F.col("job_url")).alias("absolute_url"),
+        F.when(F.col("logo_url").isNotNull(), F.col("job_url")).alias("absolute_url"),
         F.struct(F.col("location").alias("name")).alias("location"),
         F.col("post_date").alias("first_published"),
         F.concat(F.lit("u"), "seq").alias("updated_at"))
@@ -77,7 +74,7 @@ SELECT 'lever-' || coalesce(CASE WHEN seq % 4 > 0 THEN CAST(seq AS VARCHAR) END,
     substr(sha256(job_url), 1, 16)) AS id, title, 'Acme ' || (seq // 25) AS company, location,
   job_url, CASE WHEN seq % 3 > 0 THEN strftime(make_timestamp(1756634400000000 + seq * 1000000),
     '%Y-%m-%d %H:%M:%S') END AS post_date, {_SEQ} AS seq
-FROM postings WHERE {_HINTED} AND {_WHOLE} AND title <> ''""")
+FROM postings WHERE {_HINTED} AND title <> ''""")
 def json_array_jobs(spark, sf_dir):
     seq = F.col("seq")
     item = F.struct(
@@ -93,7 +90,7 @@ SELECT 'jobicy-' || seq AS id, title, company,
   '🌐 Remote (' || CASE WHEN seq % 2 = 0 THEN location ELSE 'Remote / Europe' END || ')' AS location,
   CASE WHEN seq % 3 = 0 THEN source ELSE {sql.cleaned('description')} END AS description,
   seniority_level, 'Remote' AS workplace_type, {_SEQ} AS seq
-FROM postings WHERE {_WHOLE}""")
+FROM postings""")
 def json_remote_excerpt(spark, sf_dir):
     seq = F.col("seq")
     item = F.struct(
@@ -112,7 +109,7 @@ SELECT 'remoteok-' || CASE WHEN seq % 5 > 0 THEN CAST(seq AS VARCHAR)
     ELSE substr(sha256(job_url), 1, 16) END AS id, title,
   '🌐 Remote (' || CASE WHEN seq % 2 = 0 THEN location ELSE 'Worldwide Remote' END || ')' AS location,
   {sql.cleaned('description')} AS description, {_SEQ} + 1 AS seq
-FROM postings WHERE {_WHOLE}""")
+FROM postings""")
 def json_skip_header(spark, sf_dir):
     seq = F.col("seq")
     item = F.struct(
@@ -131,7 +128,7 @@ SELECT 'arbeitnow-role-' || seq AS id, title,
   CASE WHEN lang = 'en' THEN 'Remote' ELSE 'On-site' END AS workplace_type,
   CASE WHEN seq % 2 = 0 THEN CAST(1700000000 + seq AS VARCHAR) ELSE '' END AS post_date,
   title || chr(10) || source AS description, {_SEQ} AS seq
-FROM postings WHERE {_WHOLE} AND title <> ''""")
+FROM postings WHERE title <> ''""")
 def json_remote_flag(spark, sf_dir):
     seq = F.col("seq")
     escaped = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -150,7 +147,7 @@ def json_remote_flag(spark, sf_dir):
 @query("company_list", """
 SELECT c_custkey // 25 AS batch, CASE c_nationkey % 2 WHEN 0 THEN 'greenhouse' ELSE 'lever' END AS ats,
   replace(lower(c_name), '#', '-') AS slug
-FROM customer WHERE c_acctbal >= 0 AND (c_custkey // 25) % 10 <> 9""")
+FROM customer WHERE c_acctbal >= 0""")
 def company_list(spark, sf_dir):
     return profile_source.company_list(views.company_documents(spark, sf_dir), "body").select(
         "batch", "ats", "slug")
@@ -340,9 +337,9 @@ def html_text(spark, sf_dir):
 @query("union_sources", rf"""
 WITH {sql.POSTINGS}, {ANCHORS},
 gh AS (SELECT 'gh-' || seq AS id, title, 'Acme ' || (seq // 25) AS company, location,
-    'Greenhouse' AS platform FROM postings WHERE {_HINTED} AND {_WHOLE} AND title <> ''),
+    'Greenhouse' AS platform FROM postings WHERE {_HINTED} AND title <> ''),
 jb AS (SELECT 'jobicy-' || seq AS id, title, company, '🌐 Remote (' || location || ')' AS location,
-    'Jobicy' AS platform FROM postings WHERE {_WHOLE}),
+    'Jobicy' AS platform FROM postings),
 t AS (SELECT url, {sql.cleaned(_decoded("regexp_extract(html, '<title>([^<]*)', 1)"))} AS title
   FROM pages),
 c AS (SELECT url, {sql.stripped(r"regexp_replace(title, '\s+[|\-–]\s+.*$', '')")} AS short FROM t),

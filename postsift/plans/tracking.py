@@ -85,42 +85,43 @@ def _shown(df):
 
 
 @query("state_upsert", f"""WITH {sql.TRACKED},
-again AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN job_id ELSE 'n' || job_id END AS job_id,
-    'Again' AS search_name, CASE WHEN o_orderkey % 6 = 0 THEN 'NEW' ELSE 'FILTERED' END AS status,
+again AS (SELECT CASE WHEN status = 'APPLIED' THEN 'n' || job_id ELSE job_id END AS job_id,
+    'Again' AS search_name, CASE WHEN status = 'NEW' THEN 'NEW' ELSE 'FILTERED' END AS status,
     TIMESTAMP '2024-01-31 00:00:00' AS discovered_at,
-    CASE WHEN o_orderkey % 6 = 0 THEN TIMESTAMP '2024-01-31 00:00:00' END AS notified_at
-  FROM tracked WHERE o_orderkey % 3 = 0)
+    CASE WHEN status = 'NEW' THEN TIMESTAMP '2024-01-31 00:00:00' END AS notified_at
+  FROM tracked WHERE platform = 'F')
 SELECT {_SHOWN} FROM (SELECT * FROM again UNION ALL
   SELECT job_id, search_name, status, discovered_at, notified_at FROM tracked
   WHERE job_id NOT IN (SELECT job_id FROM again))""")
 def state_upsert(spark, sf_dir):
+    """Listings of one platform come again; those applied for come under a new id."""
     tracked = views.tracked(spark, sf_dir)
-    n = F.col("job_id").cast("bigint")
-    outcomes = tracked.filter(n % 3 == 0).select(
-        F.when(n % 2 == 0, F.col("job_id")).otherwise(F.concat(F.lit("n"), "job_id")).alias("id"),
+    applied = F.col("status") == "APPLIED"
+    outcomes = tracked.filter("platform = 'F'").select(
+        F.when(applied, F.concat(F.lit("n"), "job_id")).otherwise(F.col("job_id")).alias("id"),
         F.lit("Again").alias("search_name"), "title", "company", "location",
         F.col("url").alias("job_url"), "platform",
-        F.when(n % 6 == 0, "NEW").otherwise("FILTERED").alias("status"))
+        F.when(F.col("status") == "NEW", "NEW").otherwise("FILTERED").alias("status"))
     log = st.as_versions(tracked, F.col("discovered_at")).unionByName(
         st.seen_versions(outcomes, LATER))
     return _shown(st.current_state(log))
 
 
 @query("status_update", f"""WITH {sql.TRACKED},
-u AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'x' || job_id ELSE job_id END AS job_id,
-  ['APPLIED', 'HIDDEN', 'applied', 'OFFER'][o_orderkey % 4 + 1] AS new_status FROM tracked
-  WHERE o_orderkey % 2 = 0 OR o_orderkey % 5 = 0)
+u AS (SELECT CASE WHEN platform = 'P' THEN 'x' || job_id ELSE job_id END AS job_id,
+  ['APPLIED', 'HIDDEN', 'applied', 'OFFER'][o_orderkey % 4 + 1] AS new_status FROM tracked)
 SELECT u.job_id, CASE WHEN new_status = 'applied' THEN 'INVALID'
     WHEN t.job_id IS NULL THEN 'NOT_FOUND' ELSE 'UPDATED' END AS result,
   CASE WHEN new_status = 'applied' OR t.job_id IS NULL THEN t.status ELSE new_status END AS status
 FROM u LEFT JOIN tracked t ON u.job_id = t.job_id""")
 def status_update(spark, sf_dir):
+    """One update per order; those of one platform name ids that do not exist."""
     tracked = views.tracked(spark, sf_dir)
-    n = F.col("job_id").cast("bigint")
-    updates = tracked.filter((n % 2 == 0) | (n % 5 == 0)).select(
-        F.when(n % 5 == 0, F.concat(F.lit("x"), "job_id")).otherwise(F.col("job_id"))
-        .alias("job_id"),
-        views.by_number(n, ["APPLIED", "HIDDEN", "applied", "OFFER"]).alias("new_status"))
+    missing = F.col("platform") == "P"
+    updates = tracked.select(
+        F.when(missing, F.concat(F.lit("x"), "job_id")).otherwise(F.col("job_id")).alias("job_id"),
+        views.by_number(F.col("job_id").cast("bigint"), ["APPLIED", "HIDDEN", "applied", "OFFER"])
+        .alias("new_status"))
     return st.status_updates(tracked, updates).select("job_id", "result", "status")
 
 

@@ -55,6 +55,8 @@ def by_number(number, values):
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as listings: the head of the text names the listing, and the whole text
+    is its description. Copies of a text share an id, as one listing on several boards."""
     docs = spread(load(spark, sf_dir, "documents"))
     docs = docs.withColumn("cleaned", clean_text(F.col("text")))
     n = F.col("doc_id")
@@ -224,9 +226,6 @@ def company_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.transform(F.filter(ordered, lambda r: r["kind"] == k), lambda r: r["slug"])
 
     listed = F.to_json(F.struct(of(0).alias("greenhouse"), of(1).alias("lever")))
-    # Every tenth document is malformed, as a corrupt file would be.
-    body = F.when(F.col("batch") % 10 == 9, F.concat(F.lit("]"), "json")).otherwise(F.col("json"))
     return (load(spark, sf_dir, "customer")
             .select("c_custkey", batch.alias("batch"), kind.alias("kind"), blank.alias("slug"))
-            .groupBy("batch").agg(listed.alias("json"))
-            .select("batch", body.alias("body")))
+            .groupBy("batch").agg(listed.alias("body")))

@@ -77,15 +77,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS,
+                   size: int = BROADCAST_BYTES) -> bool:
+    """Measure a side against both bounds, reading at most ``rows + 1`` rows."""
+    used = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    count, used = df.limit(rows + 1).agg(F.count("*"), used).first()
+    return count <= rows and (used or 0) <= size
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast only when the side is measured to be within the bounds.
 
     Past them no hint is given and the join shuffles on its keys, where adaptive
-    execution splits skewed partitions. The measurement reads at most ``rows + 1`` rows.
+    execution splits skewed partitions.
     """
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    count, size = df.limit(rows + 1).agg(F.count("*"), size).first()
-    return F.broadcast(df) if count <= rows and (size or 0) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def configure(spark: SparkSession) -> None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from postsift.schema import (
 
 Source = Callable[[DataFrame, DataFrame], DataFrame]
 SOURCES: dict[str, Source] = {}
+log = logging.getLogger("postsift")
 
 
 def register_source(code: str, transform: Source) -> None:
@@ -41,12 +44,25 @@ def as_listing(df: DataFrame, code: str, **columns: Column | str) -> DataFrame:
 
 
 def union_sources(landed: dict[str, DataFrame], profiles: DataFrame) -> DataFrame:
-    """Extract every landed source and concatenate; unknown codes are skipped."""
-    parts = [SOURCES[code](payloads, profiles)
-             for code, payloads in landed.items() if code in SOURCES]
+    """Extract every landed source and concatenate; unknown codes are skipped.
+
+    A source whose payloads do not have the columns it needs contributes nothing and
+    does not stop the others.
+    """
+    parts = [landed_nothing(profiles)]
+    for code, payloads in landed.items():
+        if code in SOURCES:
+            try:
+                parts.append(SOURCES[code](payloads, profiles))
+            except AnalysisException as error:
+                log.warning("source %s skipped: %s", code, error)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def landed_nothing(profiles: DataFrame) -> DataFrame:
+    return profiles.sparkSession.createDataFrame([], LISTING)
+
+
 def search_urls(profiles: DataFrame, page: int = 0) -> DataFrame:
     """Query texts of every profile, one column per searchable source."""
     keywords, location = F.col("keywords"), F.col("profile_location")

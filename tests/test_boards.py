@@ -191,7 +191,8 @@ def test_union_skips_unknown_and_takes_registered(spark):
     try:
         page = '<a href="/oferta-de-angajare/1">Junior</a>'
         landed = {"mine": payload(spark, "mine", page), "hipo": payload(spark, "hipo", page),
-                  "nobody": payload(spark, "nobody", page)}
+                  "nobody": payload(spark, "nobody", page),
+                  "ejobs": spark.range(1)}
         assert union_sources(landed, profiles(spark)).count() == 2
     finally:
         SOURCES.pop("mine")
