@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import mixing, quality
+from postsift.llm import bpe, mixing, quality
 from postsift.llm.common import table
 from postsift.session import cut_lineage, ship_package
 
@@ -38,3 +38,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(voted, quality.fit(voted))
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "base_failed", "posterior", "kept")
+
+
+@query("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    ship_package(spark)
+    tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", tokenizer.encode(F.col("text")).alias("ids"))
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(digits, 256).alias("ids_sha256"),
+        F.sha2(tokenizer.decode(F.col("ids")), 256).alias("decoded_sha256"))
