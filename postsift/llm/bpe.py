@@ -30,6 +30,8 @@ from array import array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postsift.session import ship_package
+
 VOCABULARY_BYTES = 64 << 20
 CACHE_ENTRIES = 1 << 18
 CACHE_CHARS = 64
@@ -266,6 +268,7 @@ class Tokenizer:
     """Column functions of one vocabulary file."""
 
     def __init__(self, spark: SparkSession, path: str):
+        ship_package(spark)
         shared = spark.sparkContext.broadcast(read_vocabulary(path))
 
         @F.arrow_udf("array<int>")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe, mixing, quality
+from postsift.llm import bpe, lines, mixing, quality, simhash
 from postsift.llm.common import table
-from postsift.session import cut_lineage, ship_package
+from postsift.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,7 +43,6 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_bpe")
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    ship_package(spark)
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.json"))
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", tokenizer.encode(F.col("text")).alias("ids"))
@@ -52,3 +51,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(digits, 256).alias("ids_sha256"),
         F.sha2(tokenizer.decode(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
+@query("op7_lines")
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
+                        "dropped", "text")
