@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe, lines, mixing, quality, simhash
+from postsift.llm import bpe, lines, mixing, quality, simhash, sketches
 from postsift.llm.common import table
 from postsift.session import cut_lineage
 
@@ -65,3 +65,8 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
                         "dropped", "text")
+
+
+@query("op2_sketches")
+def op2_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_with_edits(table(spark, sf_dir, "documents"))
