@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from postsift.session import ship_package
 
 VOCABULARY_BYTES = 64 << 20
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 64
+DECODE_ROWS = 256
 NEVER = 1 << 60
 # Fixed pattern of byte-level vocabularies. Which later code points are letters or digits
 # depends on the edition of Unicode, so texts with those are split by the library itself.
@@ -88,8 +89,9 @@ class Encoder:
         usable = [i for i in sorted(self.bytes, key=lambda i: len(self.bytes[i])) if self._usable(i)]
         self.automaton = ahocorasick.Automaton()
         for i in usable:
-            self.automaton.add_word(self.bytes[i].decode("latin-1"), (i, len(self.bytes[i])))
+            self.automaton.add_word(self.bytes[i].decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.sizes = [len(self.bytes.get(i, b"")) for i in range(max(self.bytes, default=-1) + 1)]
         self.pattern = regex.compile(PIECES)
         self.split = ByteLevel(add_prefix_space=vocabulary["prefix_space"]).pre_tokenize_str
         self.added = vocabulary["added"]
@@ -97,7 +99,8 @@ class Encoder:
         self.marks = re.compile("(" + "|".join(
             re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.words, self.pieces = _Cache(), _Cache()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.table = None
+        self.pairs: dict[int, bool] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """(piece, rank of the rule that uses it up) along an edge, the token itself first."""
@@ -133,40 +136,43 @@ class Encoder:
                 and self._apart(parts[0], parts[1], parts[2]))
         return self.known[token]
 
-    def _compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= CACHE_ENTRIES:
-                self.pairs.clear()
-            found = self.pairs[key] = self._apart(left, right, NEVER)
-        return found
-
     def _word(self, word: str) -> list[int]:
         """Ids of a piece inside which the rules work without borders."""
         raw = word.encode("utf-8").decode("latin-1")
-        last: list = [None] * (len(raw) + 1)
-        for end, (token, size) in self.automaton.iter(raw):
-            if last[end + 1] is None:
-                start = end + 1 - size
-                before = last[start]
-                if start == 0 or before is not None and self._compatible(before[0], token):
-                    last[end + 1] = (token, size)
+        pairs, sizes = self.pairs, self.sizes
+        last = [-1] * (len(raw) + 1)
+        for end, token in self.automaton.iter(raw):
+            end += 1
+            if last[end] < 0:
+                start = end - sizes[token]
+                if start:
+                    key = last[start] << 32 | token
+                    fits = pairs.get(key)
+                    if fits is None:
+                        if len(pairs) >= CACHE_ENTRIES:
+                            pairs.clear()
+                        fits = pairs[key] = self._apart(last[start], token, NEVER)
+                    if not fits:
+                        continue
+                last[end] = token
         ids, at = [], len(raw)
         while at:
-            token, size = last[at]
+            token = last[at]
             ids.append(token)
-            at -= size
+            at -= sizes[token]
         ids.reverse()
         return ids
 
     def _ids(self, piece: str) -> bytes:
-        """Ids (int32) of one piece, as bytes."""
-        found = self.pieces.get(piece)
+        """Ids (int32) of one piece, as bytes; one after a space is kept as that word."""
+        cache, key = self.pieces, piece
+        if piece[0] == " " and not piece[-1].isspace():
+            cache, key = self.words, piece[1:]
+        found = cache.get(key)
         if found is None:
             found = array("i", self._word(piece)).tobytes()
             if len(piece) <= CACHE_CHARS:
-                self.pieces.put(piece, found)
+                cache.put(key, found)
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -186,23 +192,34 @@ class Encoder:
         first, *words = text.split(" ")
         if first and not first[-1].isspace():
             found = list(map(self.words.young.get, words))
-            if None not in found:
-                return self._chunk(first) + b"".join(found)
-            for i, one in enumerate(found):
-                if one is None:
-                    word = words[i]
-                    if not word or word[0].isspace() or word[-1].isspace():
-                        break
-                    one = self.words.get(word)
-                    if one is None:
-                        one = self._chunk(" " + word)
-                        if len(word) <= CACHE_CHARS:
-                            self.words.put(word, one)
-                    found[i] = one
-            else:
+            at = 0
+            try:
+                while True:
+                    at = found.index(None, at)
+                    ids = self._spaced(words[at])
+                    if ids is None:
+                        return b"".join(map(self._chunk, _safe_parts(text)))
+                    found[at] = ids
+            except ValueError:
                 return self._chunk(first) + b"".join(found)
         return b"".join(map(self._chunk, _safe_parts(text)))
 
+    def _spaced(self, word: str) -> bytes | None:
+        """Ids of a space and a word; None unless the word begins and ends without white space."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        found = self.words.get(word)
+        if found is None:
+            if max(word) >= FIRST_UNSURE:
+                found = self._chunk(" " + word)
+            elif word.isalpha():
+                found = array("i", self._word(" " + word)).tobytes()
+            else:
+                found = b"".join(map(self._ids, self.pattern.findall(" " + word)))
+            if len(word) <= CACHE_CHARS:
+                self.words.put(word, found)
+        return found
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as int32 bytes."""
         if self.marks is None:
@@ -210,9 +227,17 @@ class Encoder:
         return b"".join([array("i", [self.added[p]]).tobytes() if p in self.added else self._part(p)
                          for p in self.marks.split(text) if p])
 
-    def decode(self, ids: list[int]) -> str:
-        get = self.bytes.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids, offsets) -> list[str]:
+        """Texts of the lists of ids that the offsets cut out of one array."""
+        import numpy as np
+        if self.table is None:
+            self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes, default=-1) + 1)]
+            self.lengths = np.array([len(b) for b in self.table], np.int64)
+        known = (ids >= 0) & (ids < len(self.table))
+        ids, offsets = ids[known], np.concatenate(([0], np.cumsum(known)))[offsets]
+        ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))[offsets].tolist()
+        whole = b"".join(map(self.table.__getitem__, ids.tolist()))
+        return [whole[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
 class _Cache:
@@ -284,9 +309,15 @@ class Tokenizer:
 
         @F.arrow_udf("string")
         def text_of(ids):
+            import numpy as np
             import pyarrow as pa
-            decode = _encoder(shared.value).decode
-            return pa.array([decode(i.as_py() or []) for i in ids], pa.string())
+            found, rows = [], DECODE_ROWS
+            for at in range(0, len(ids), rows):
+                part = pa.array(ids.slice(at, rows).fill_null([]))
+                flat = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                sizes = np.diff(part.offsets.to_numpy())
+                found += _encoder(shared.value).decode(flat, np.concatenate(([0], np.cumsum(sizes))))
+            return pa.array(found, pa.string())
 
         self._ids_of, self._text_of = ids_of, text_of
 

@@ -185,4 +185,6 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = .5) -> Dat
     written in between.
     """
     model = fit(with_votes(measure(docs, text)))
-    return judge(with_votes(measure(docs, text)), model, threshold).where("kept").select("row.*")
+    judged = judge(with_votes(measure(docs, text)), model, threshold)
+    # A filter would be pushed below the counts and make each of them once for every use.
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
