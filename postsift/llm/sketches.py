@@ -71,36 +71,35 @@ def likeness(a: Column, b: Column) -> Column:
         F.size(F.array_intersect(a["kept"], b["kept"])) / small)
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], prefix: str = "next_") -> DataFrame:
-    """Adds the ``columns`` of the following row in ascending ``key`` order, the first row
-    following the last.
+def with_next(df: DataFrame, key: str, value: str, tie: str, name: str) -> DataFrame:
+    """Adds ``name``: column ``value`` of the following row in ascending ``key`` order, the
+    first row following the last.
 
     Rows are dealt to buckets of neighbouring keys by equal steps of the key range, each
     sorted on its own. The first row of a bucket is also sent to the bucket before it,
     which gives every last row its follower. Bucket heads are at most MOST_BUCKETS short
-    rows. Null keys come last, rows with equal keys by ``columns``.
+    rows, so they are broadcast; rows move once. Null keys come last, rows with equal keys
+    in the order of a hash of ``tie``.
     """
     low, high, count = df.agg(F.min(key), F.max(key), F.count("*")).first()
     if low is None:
         low = high = 0
     buckets = max(1, min(MOST_BUCKETS, math.ceil(count / BUCKET_ROWS)))
     width = max(1, math.ceil((high - low + 1) / buckets))
-    bucket = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(buckets))
-    narrow = df.select(F.col(key).alias("_k"), bucket.alias("_b"), F.xxhash64(*columns).alias("_m"))
-    heads = narrow.groupBy("_b").agg(F.min(F.struct("_k", "_m")).alias("head"))
-    before = F.lag("_b").over(Window.orderBy("_b"))
-    last = F.max("_b").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("head", F.coalesce(before, last).alias("to"), before.isNull().alias("wraps"))
-    marked = df.withColumn("_b", bucket).withColumn("_m", F.xxhash64(*columns))
-    met = marked.join(F.broadcast(heads), F.col(key).eqNullSafe(F.col("head._k"))
-                      & (F.col("_m") == F.col("head._m")), "left")
-    own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("guest"))
-    both = F.array(own, F.struct(F.col("to").alias("b"), F.lit(True).alias("guest")))
-    rows = met.select("*", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(both)).alias("_at"))
-    order = Window.partitionBy("_at.b").orderBy("_at.guest", F.col(key).asc_nulls_last(), "_m")
-    for name in columns:
-        rows = rows.withColumn(prefix + name, F.lead(name).over(order))
-    return rows.where("NOT _at.guest").drop("_b", "_m", "head", "to", "wraps", "_at")
+    home = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(buckets))
+    marked = df.withColumn("_home", home).withColumn("_mark", F.xxhash64(tie))
+    heads = marked.groupBy("_home").agg(F.min(F.struct(
+        F.col(key).alias("key"), F.col("_mark").alias("mark"))).alias("head"))
+    before = F.lag("_home").over(Window.orderBy("_home"))
+    last = F.max("_home").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("head", F.coalesce(before, last).alias("_to"))
+    met = marked.join(F.broadcast(heads), F.col(key).eqNullSafe(F.col("head.key"))
+                      & (F.col("_mark") == F.col("head.mark")), "left")
+    at = F.when(F.col("_to").isNull(), F.array("_home")).otherwise(F.array("_home", "_to"))
+    rows = met.select(*df.columns, "_mark", F.posexplode(at).alias("_guest", "_bucket"))
+    order = Window.partitionBy("_bucket").orderBy("_guest", F.col(key).asc_nulls_last(), "_mark")
+    rows = rows.withColumn(name, F.lead(value).over(order))
+    return rows.where("_guest = 0").drop("_mark", "_guest", "_bucket")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -113,13 +112,16 @@ def edited(text: Column, following: Column) -> Column:
 def compare_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document against its edited text and against the next document."""
     df = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    df = with_next(sketch(df, "body", "own"), "key", ["body", "own"])
+    df = sketch(df, "body", "own").select("key", "body", F.struct("body", "own").alias("this"))
     # A single row is its own follower.
-    df = df.withColumn("made", edited(F.col("body"), F.coalesce("next_body", "body"))).select(
-        "key", "own", "next_own", "made", F.length("body").cast("long").alias("n_chars"))
+    df = with_next(df, "key", "this", "body", "next").withColumn("next", F.coalesce("next", "this"))
+    df = df.select(
+        "key", F.col("this.own").alias("own"), F.col("next.own").alias("next_own"),
+        edited(F.col("this.body"), F.col("next.body")).alias("made"),
+        F.length("this.body").cast("long").alias("n_chars"))
     df = sketch(df, "made", "changed")
     return df.select(
         F.col("key").alias(key), "n_chars", F.sha2("made", 256).alias("edited_sha256"),
         as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.coalesce("next_own", "own")).alias("near_next"))
+        likeness(F.col("own"), F.col("next_own")).alias("near_next"))
