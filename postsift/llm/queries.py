@@ -62,9 +62,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_lines")
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("row.doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
-                        "dropped", "text")
+    found = lines.report(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_dropped", F.size("dropped").cast("long"))
 
 
 @query("op2_sketches")
