@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe, lines, mixing, quality, simhash, sketches
+from postsift.llm import bpe, chats, lines, mixing, quality, simhash, sketches
 from postsift.llm.common import table
 from postsift.session import cut_lineage
 
@@ -69,3 +69,25 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_sketches")
 def op2_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op8_chats", r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST,
+           role NULLS FIRST, text NULLS FIRST) AS place, role, text
+  FROM conversations),
+whole AS (
+  SELECT conv_id, max(place) AS size,
+         list({'r': role, 't': text} ORDER BY place) AS said
+  FROM turns GROUP BY conv_id),
+kinds AS (SELECT min(conv_id) AS conv_id, size, said FROM whole GROUP BY size, said),
+starts AS (
+  SELECT DISTINCT said[1:k] AS said
+  FROM (SELECT said, unnest(range(1, size)) AS k FROM whole)),
+kept AS (SELECT conv_id FROM kinds k WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.said = k.said))
+SELECT conv_id, (place - 1) // 1024 AS part, count(*) AS n_turns,
+       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '')
+                  || '<|im_end|>' || chr(10), '' ORDER BY place) AS chat
+FROM turns WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id, part""")
+def op8_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.format_chats(table(spark, sf_dir, "conversations"))
