@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe, chats, lines, mixing, quality, simhash, sketches
+from postsift.llm import bpe, chats, lines, mixing, quality, simhash, sketches, urls
 from postsift.llm.common import table
 from postsift.session import cut_lineage
 
@@ -91,3 +91,11 @@ SELECT conv_id, (place - 1) // 1024 AS part, count(*) AS n_turns,
 FROM turns WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id, part""")
 def op8_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_urls")
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = urls.labelled_urls(pages, table(spark, sf_dir, "labels"))
+    return urls.judge(pages, labelled).select(
+        "row.page_id", "host", "path", "rule", "score", "verdict")
