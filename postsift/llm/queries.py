@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe, chats, lines, mixing, quality, simhash, sketches, urls
+from postsift.llm import bpe, chats, lines, mixing, pages, quality, simhash, sketches, urls
 from postsift.llm.common import table
 from postsift.session import cut_lineage
 
@@ -95,7 +95,13 @@ def op8_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_urls")
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labelled = urls.labelled_urls(pages, table(spark, sf_dir, "labels"))
-    return urls.judge(pages, labelled).select(
+    seen = table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = urls.labelled_urls(seen, table(spark, sf_dir, "labels"))
+    return urls.judge(seen, labelled).select(
         "row.page_id", "host", "path", "rule", "score", "verdict")
+
+
+@query("op9_pages")
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.main_text(table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
