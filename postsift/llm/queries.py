@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsift.llm import bpe, chats, lines, mixing, pages, quality, simhash, sketches, urls
+from postsift.llm import bpe, chats, lines, mixing, pages, passages, quality, simhash, sketches, urls
 from postsift.llm.common import table
 from postsift.session import cut_lineage
 
@@ -105,3 +105,8 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.main_text(table(spark, sf_dir, "pages"))
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op10_passages")
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
