@@ -30,6 +30,7 @@ from array import array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postsift.llm.common import unique_name
 from postsift.session import ship_package
 
 VOCABULARY_BYTES = 64 << 20
@@ -329,5 +330,6 @@ class Tokenizer:
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of their texts in a new last column."""
-    return docs.withColumn(ids, Tokenizer(docs.sparkSession, path).encode(F.col(f"`{text}`")))
+    """``docs`` with the token ids of their texts in a new last column, named ``ids`` or, where
+    there is such a column already, with underscores after it."""
+    return docs.withColumn(unique_name(ids, docs.columns), Tokenizer(docs.sparkSession, path).encode(F.col(f"`{text}`")))

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postsift.llm.common import SPACE, WORD, packed
+from postsift.llm.common import SPACE, WORD, packed, unique_name
 from postsift.session import broadcast_if_small, cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -220,9 +220,10 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source",
     text from its first word to its last, with the white space between them.
     Length columns are left to the caller.
     """
-    names, sized = docs.columns, docs.withColumn("_words_", count_words(F.col(f"`{text}`")))
-    df = mix(sized, source, "_words_", order, **options)
-    whole = (F.col("first") == 0) & (F.col("last") == F.col("row._words_"))
+    names, words = docs.columns, unique_name("_words", docs.columns)
+    sized = docs.withColumn(words, count_words(F.col(f"`{text}`")))
+    df = mix(sized, source, words, order, **options)
+    whole = (F.col("first") == 0) & (F.col("last") == F.col(f"row.{words}"))
     runs = F.regexp_extract_all(F.col(f"row.{text}"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     cut = F.ltrim(F.array_join(F.slice(runs, (F.col("first") + 1).cast("int"),
                                        (F.col("last") - F.col("first")).cast("int")), ""))
