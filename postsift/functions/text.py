@@ -16,9 +16,11 @@ from postsift.schema import AGE_OVER_A_DAY, DATE_WINDOW_CODES, DEFAULT_COLOR
 # Java's \s is ASCII only unless (?U); \x1c-\x1f count as space in the data model.
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-_ISO = (r"^\d{4}-\d{2}-\d{2}"
-        r"([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$")
-_HAS_ZONE = r"[T ].*(Z|[+-]\d{2}:?\d{2})$"
+# Date, hour, minute, second, fraction, offset sign, hours and minutes; extended and basic form.
+_ISO = (r"^(\d{4})-(\d{2})-(\d{2})(?:[^\d](\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?"
+        r"(?:Z|([+-])(\d{2})(?::?(\d{2}))?)?)?$")
+_BASIC = (r"^(\d{4})(\d{2})(\d{2})(?:[^\d](\d{2})(?:(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)?"
+          r"(?:Z|([+-])(\d{2})(?::?(\d{2}))?)?)?$")
 
 
 def text(c: Column) -> Column:
@@ -54,7 +56,11 @@ def normalize_text(c: Column) -> Column:
 
 
 def hex_color(c: Column, default: int = DEFAULT_COLOR) -> Column:
-    digits = F.regexp_extract(text(c), "^#*([0-9A-Fa-f]{1,15})$", 1)
+    """Value of hex digits after any number of ``#``; leading zeros do not count.
+
+    A value that needs more than 15 digits is no colour and takes the default.
+    """
+    digits = F.regexp_extract(text(c), "^#*0*([0-9A-Fa-f]{1,15})$", 1)
     return F.coalesce(F.conv(filled(digits), 16, 10).cast("bigint"),
                       F.lit(default).cast("bigint"))
 
@@ -64,11 +70,25 @@ def as_of_literal(as_of: datetime) -> Column:
 
 
 def parse_iso(c: Column) -> Column:
-    """Timestamp of ISO text, UTC unless it names an offset; null when it is not ISO."""
-    t = strip(c)
-    zoned = F.when(t.rlike(_HAS_ZONE), t).when(F.length(t) > 10, F.concat(t, F.lit("Z")))
-    zoned = F.coalesce(zoned, F.concat(t, F.lit("T00:00:00Z")))
-    return F.when(t.rlike(_ISO), F.translate(zoned, ",", ".").try_cast("timestamp"))
+    """Timestamp of ISO text, UTC unless it names an offset; null when it is not ISO.
+
+    Taken are dates alone, times to the hour, minute or second with any fraction (cut to
+    microseconds) and offsets to the hour or minute, in the extended and the basic form.
+    """
+    def read(t: Column) -> Column:
+        extended = t.rlike(_ISO)
+
+        def part(i: int, default: str = "00") -> Column:
+            found = F.when(extended, F.regexp_extract(t, _ISO, i)).otherwise(
+                F.regexp_extract(t, _BASIC, i))
+            return F.coalesce(filled(found), F.lit(default))
+
+        stamp = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), part(4),
+                         F.lit(":"), part(5), F.lit(":"), part(6), F.lit("."),
+                         F.substring(part(7, "0"), 1, 6), part(8, "+"), part(9), F.lit(":"), part(10))
+        return F.when(extended | t.rlike(_BASIC), stamp.try_cast("timestamp"))
+
+    return bind(strip(c), read)
 
 
 def age_hours(post_date: Column, post_text: Column, as_of: Column) -> Column:

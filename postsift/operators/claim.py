@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ARRIVAL = "decimal(38,0)"
@@ -60,13 +60,16 @@ def first_claims(scanned: DataFrame, state_ids: DataFrame) -> DataFrame:
 
 
 def page_cutoff(cards: DataFrame, pages: DataFrame, scan_keys: list[str]) -> DataFrame:
-    """Cards of the pages before the first empty one of each scan.
+    """Cards of the pages before the first empty or missing one of each scan.
 
     ``pages`` has one row per fetched page: ``page`` from 0, its card count ``cards``
-    and the scan's ``max_pages``, null for no limit.
+    and the scan's ``max_pages``, null for no limit. A page that failed has no row.
     """
+    order = Window.partitionBy(*scan_keys).orderBy("page")
+    pages = pages.withColumn("_place", F.dense_rank().over(order) - 1)
     stop = pages.groupBy(*scan_keys).agg(
-        F.coalesce(F.min(F.when(F.col("cards") == 0, F.col("page"))),
+        F.coalesce(F.min(F.when((F.col("cards") == 0) | (F.col("page") > F.col("_place")),
+                                F.col("_place"))),
                    F.lit(2**31 - 1)).alias("stop"),
         F.coalesce(F.max("max_pages"), F.lit(2**31 - 1)).alias("max_pages"))
     return (cards.join(stop, scan_keys)

@@ -107,11 +107,15 @@ def purge_versions(current: DataFrame, as_of: datetime, days: int = PURGE_DAYS,
     return as_versions(purged(current, as_of, days), F.lit(as_of), op_seq, deleted=True)
 
 
+STREAM, USER = "stream", "user"
+
+
 class StateTables:
     """Parquet locations of the state log and the scan log.
 
-    Each batch owns one ``batch_id`` folder, so writing a batch again after a failure
-    replaces what the failed attempt left.
+    Each batch owns one ``batch_id`` folder of its writer, so writing a batch again after a
+    failure replaces what the failed attempt left. Batches of the stream and changes by a
+    user (``writer=USER``, numbered on their own) never replace each other.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -122,12 +126,16 @@ class StateTables:
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return self.spark.createDataFrame([], schema)
-        with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-        rows = self.spark.read.schema(with_batch).parquet(f"{self.root}/{name}")
+        placed = T.StructType([*schema.fields, T.StructField("writer", T.StringType()),
+                               T.StructField("batch_id", T.LongType())])
+        rows = self.spark.read.schema(placed).parquet(f"{self.root}/{name}")
         if before is not None:
             # Prunes folders: the batch being written never reads itself.
-            rows = rows.filter(F.col("batch_id") < before)
-        return rows.drop("batch_id")
+            rows = rows.filter((F.col("writer") != STREAM) | (F.col("batch_id") < before))
+        return rows.drop("writer", "batch_id")
+
+    def _folder(self, name: str, batch_id: int, writer: str) -> str:
+        return f"{self.root}/{name}/writer={writer}/batch_id={batch_id}"
 
     def state_log(self, before: int | None = None) -> DataFrame:
         return self._read("state", STATE_LOG, before)
@@ -138,11 +146,11 @@ class StateTables:
     def scans(self, before: int | None = None) -> DataFrame:
         return self._read("scans", SCAN_LOG, before)
 
-    def append_state(self, versions: DataFrame, batch_id: int) -> None:
-        versions.write.mode("overwrite").parquet(f"{self.root}/state/batch_id={batch_id}")
+    def append_state(self, versions: DataFrame, batch_id: int, writer: str = STREAM) -> None:
+        versions.write.mode("overwrite").parquet(self._folder("state", batch_id, writer))
 
-    def append_scans(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/scans/batch_id={batch_id}")
+    def append_scans(self, rows: DataFrame, batch_id: int, writer: str = STREAM) -> None:
+        rows.write.mode("overwrite").parquet(self._folder("scans", batch_id, writer))
 
     def compacted(self, target: str) -> "StateTables":
         """Write the current state and scan log to a new root, one version per id."""
@@ -153,9 +161,9 @@ class StateTables:
         other.append_scans(self.scans(), 0)
         return other
 
-    def reset(self, batch_id: int, as_of: datetime) -> None:
+    def reset(self, batch_id: int, as_of: datetime, writer: str = USER) -> None:
         """Remove every listing by tombstones and clear the scan log."""
-        self.append_state(as_versions(self.state(batch_id), F.lit(as_of), 1, deleted=True),
-                          batch_id)
+        self.append_state(as_versions(self.state(), F.lit(as_of), 1 << 40, deleted=True),
+                          batch_id, writer)
         self.spark.createDataFrame([], SCAN_LOG).write.mode("overwrite").parquet(
             f"{self.root}/scans")

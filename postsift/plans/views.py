@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postsift.functions.text import clean_text, workplace_type
 from postsift.schema import CARDS_PER_PAGE, PLATFORM_ICONS, PLATFORM_NAMES, Settings
-from postsift.session import configure, ship_package, spread
+from postsift.session import configure, ship_package
 from postsift.sources.profiles import profiles_from_searches
 
 SETTINGS = Settings(default_route="https://hooks.example.com/default",
@@ -57,7 +57,7 @@ def by_number(number, values):
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as listings: the head of the text names the listing, and the whole text
     is its description. Copies of a text share an id, as one listing on several boards."""
-    docs = spread(load(spark, sf_dir, "documents"))
+    docs = load(spark, sf_dir, "documents")
     docs = docs.withColumn("cleaned", clean_text(F.col("text")))
     n = F.col("doc_id")
     location = (F.when(F.col("lang") == "en", "Remote").when(F.col("lang") == "es", "Hybrid Madrid")

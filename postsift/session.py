@@ -1,4 +1,4 @@
-"""Session construction and the two scale guards every plan shares."""
+"""Session construction, shipping of the package, and the scale guards every plan shares."""
 
 from __future__ import annotations
 
@@ -28,7 +28,9 @@ def build_session(app: str = "postsift", master: str | None = None,
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 _shipped: set[str] = set()
@@ -66,17 +68,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core before per-row work that is heavy.
-
-    A file of a single row group cannot be split, which would leave one core with all
-    of it. Large inputs already have more partitions than cores and pass unchanged, so
-    no shuffle is added to them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS,
                    size: int = BROADCAST_BYTES) -> bool:
     """Measure a side against both bounds, reading at most ``rows + 1`` rows."""

@@ -28,7 +28,7 @@ from postsift.operators.state import (
 )
 from postsift.plans.scan import scan
 from postsift.schema import LISTING, SCAN_LOG, Settings
-from postsift.session import broadcast_if_small
+from postsift.session import broadcast_if_small, ship_package
 from postsift.sources.profiles import effective_pages
 from postsift.sources.registry import SOURCES, union_sources
 
@@ -45,11 +45,13 @@ class Poller:
     tables: StateTables
     alerts_root: str
     details: DataFrame | None = None
-    by_search: bool = False
     # None reads the clock once per batch.
     as_of: datetime | None = None
     dedup: Callable[[DataFrame, DataFrame], DataFrame] = greedy_dedup
 
+    def __post_init__(self):
+        ship_package(self.profiles.sparkSession)
+
     def run(self, listings: DataFrame, batch_id: int) -> None:
         """One cycle. Alerts go out before state is written, and all three outputs
         replace what an earlier attempt at the same batch left behind."""
@@ -58,7 +60,7 @@ class Poller:
         settings = replace(self.settings, as_of=as_of)
         log = self.tables.state_log(before=batch_id)
         cycle = scan(listings, self.profiles, current_state(log, _TITLE_COLUMNS), settings,
-                     self.details, self.by_search, self.dedup, known_ids(log, listings))
+                     self.details, self.dedup, known_ids(log, listings))
         outcomes = cycle.outcomes.persist()
         try:
             columns = ["profile_ord", "embed_color", "webhook_url", "role_id_to_mention"]

@@ -3,6 +3,7 @@
 import re
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -160,3 +161,19 @@ def test_text_functions_equal_restatements(spark, texts, keywords):
         assert row.clean == re.sub(r"\s+", " ", text).strip()
         assert row.norm == normal(text)
         assert row.hit == next((k for k in keywords if k.lower() in text.lower()), None)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2024-01-30T10", "2024-01-30 10:00:00"), ("2024-01-30T10:00:00+02", "2024-01-30 08:00:00"),
+    ("20240130T101500Z", "2024-01-30 10:15:00"), ("2024-01-30 10:15:00,5-0130", "2024-01-30 11:45:00.5"),
+    ("20240130", "2024-01-30 00:00:00"), ("2024-01-30", "2024-01-30 00:00:00"), ("2024-1-30", None),
+    ("2024-01-30T", None), ("soon", None), ("2024-13-01", None)])
+def test_iso_stamps(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(
+        F.regexp_replace(tx.parse_iso(F.col("t")).cast("string"), r"\.0+$", "").alias("x")).first().x
+    assert got == want
+
+
+def test_leading_zeros_of_a_colour(spark):
+    df = spark.createDataFrame([("#" + "0" * 40 + "ff",), ("#" + "f" * 40,)], "c string")
+    assert [r.x for r in df.select(tx.hex_color(F.col("c"), 7).alias("x")).collect()] == [255, 7]

@@ -129,3 +129,19 @@ def test_scan_is_partition_invariant(spark, sf_dir):
         cycle.release()
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
+
+
+def test_listings_are_judged_by_the_search_that_fetched_them(spark):
+    from postsift.plans.scan import scanned_rows
+    profiles = views.profiles_from_searches(spark, [
+        {"name": "A", "platforms": ["jobicy", "ats"]}, {"name": "B", "platforms": ["jobicy"]},
+        {"name": "A", "platforms": ["jobicy"]}])
+    rows = [("a", "jobicy", "A", 1), ("b", "jobicy", "B", 2), ("gh-1", "ats", None, 3)]
+    listings = full(spark.createDataFrame(
+        rows, "id string, platform_code string, matched_search_name string, seq long"))
+    judged, found = scanned_rows(listings, profiles)
+    by_id = {r["id"]: r["profile_ord"] for r in judged.collect()}
+    order = [r["profile_ord"] for r in profiles.orderBy("profile_ord").collect()]
+    assert by_id == {"a": order[0], "b": order[1], "gh-1": order[0]}
+    assert [(r["search_name"], r["jobs_found"]) for r in found.orderBy("profile_ord").collect()] == [
+        ("A", 2), ("B", 1), ("A", 0)]
