@@ -11,7 +11,7 @@ shingle: a passage is a run of shingles that other candidate documents have too,
 as long as a passage of 50 words and shared by ``SIMILARITY`` or more, gaps of one changed
 word included.
 
-Documents with the same words are one while windows are compared, and come back as one
+Documents with equal texts are one while windows are compared, and come back as one
 passage each over their whole text. Null text is an empty one; texts shorter than a
 passage have none. Words are lower-cased (A-Z) and parted by white space; signatures and
 shingles are 64-bit hashes. Rows with equal keys are one document; null keys take no part,
@@ -36,6 +36,8 @@ ENOUGH = 3
 SIMILARITY = .8
 # A changed word takes its five shingles out of a run.
 GAP = SHINGLE + 1
+# Texts whose windows are cut together, as arrays.
+CHUNK_BYTES = 1 << 20
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -48,54 +50,78 @@ def _mixed(values):
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None):
-    """One hash for every five words of a text."""
+def shingled(texts):
+    """Shingle hashes of several texts end to end, and the place where each text begins.
+
+    Every word has a place; where no shingle of five words of its text begins, it is 0.
+    """
     import numpy as np
     from xxhash import xxh64_intdigest
-    words = (text or "").encode().lower().split()
-    n = len(words) - SHINGLE + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+    words, starts = [], [0]
+    for text in texts:
+        words += text.lower().split()
+        starts.append(len(words))
     h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    n = max(0, len(h) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         out = _mixed(out ^ h[k:k + n])
-    return out
+    out = np.concatenate((out | np.uint64(1), np.zeros(len(h) - n, np.uint64)))
+    starts = np.array(starts)
+    for k in range(1, SHINGLE):
+        last = starts[1:] - k
+        out[last[last >= starts[:-1]]] = 0
+    return out, starts
+
 
+def _chunks(keys, texts):
+    """Keys and texts (bytes) in groups of bounded size; a text is never cut."""
+    held, size = ([], []), 0
+    for key, text in zip(keys, texts):
+        held[0].append(key)
+        held[1].append(text)
+        size += len(text)
+        if size >= CHUNK_BYTES:
+            yield held
+            held, size = ([], []), 0
+    if held[0]:
+        yield held
 
-def compact_windows(values, width: int):
+
+def compact_windows(values, width: int, longest: int | None = None):
     """(low, at, high) of all compact windows of at least ``width`` positions.
 
-    ``at`` is the first of equal minima. Minima over runs of doubling length give every
-    node of the Cartesian tree its reach without building the tree.
+    Zeros part sequences: no window holds one. ``longest`` bounds the sequences between
+    them. ``at`` is the first of equal minima. Values are ranked by their high bits and
+    then by place, so the minimum of every run tells its own place, and minima over runs
+    of doubling length give every node of the Cartesian tree its reach.
     """
     import numpy as np
     n = len(values)
     if n < width:
         return (np.zeros(0, np.int64),) * 3
-    runs = [values]
-    while 2 << (len(runs) - 1) <= n:
+    bits = np.uint64(max(1, int(n - 1).bit_length()))
+    place = np.arange(n, dtype=np.uint64)
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    # The lowest bit above the place keeps values apart from zeros.
+    rank = np.where(values == 0, place, (values & ~mask) | (np.uint64(1) << bits) | place)
+    runs, most = [rank], min(n, longest or n)
+    while 1 << len(runs) <= most:
         half, last = 1 << (len(runs) - 1), runs[-1]
         runs.append(np.minimum(last[:-half], last[half:]))
     k = width.bit_length() - 1
     least = np.minimum(runs[k][:n - width + 1], runs[k][width - (1 << k):n - (1 << k) + 1])
-    # A position is a minimum of some run of ``width`` exactly if it is one of these.
     fresh = np.concatenate(([True], least[1:] != least[:-1]))
-    wanted = np.unique(least[fresh])
-    order = np.searchsorted(wanted, values)
-    order[order == len(wanted)] = 0
-    at = np.flatnonzero(wanted[order] == values)
-    low, high, value = at.copy(), at + 1, values[at]
+    at = (least[fresh] & mask).astype(np.int64)
+    at = at[values[at] != 0]
+    low, high, value = at.copy(), at + 1, rank[at]
     for k in range(len(runs) - 1, -1, -1):
         size, run = 1 << k, runs[k]
         to = low - size
-        go = (to >= 0) & (run[np.maximum(to, 0)] > value)
-        low = np.where(go, to, low)
-        go = (high + size <= n) & (run[np.minimum(high, n - size)] >= value)
+        low = np.where((to >= 0) & (run[np.maximum(to, 0)] > value), to, low)
+        go = (high + size <= n) & (run[np.minimum(high, n - size)] > value)
         high = np.where(go, high + size, high)
-    high -= 1
-    keep = high - low + 1 >= width
-    return low[keep], at[keep], high[keep]
+    return low, at, high - 1
 
 
 def _windows(docs: DataFrame, words: int) -> DataFrame:
@@ -107,18 +133,21 @@ def _windows(docs: DataFrame, words: int) -> DataFrame:
         import pyarrow as pa
         schema = pa.schema([("signature", pa.int64()), ("doc", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
         for batch in batches:
-            made = []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
-                hashes = shingle_hashes(text.as_py())
-                for f in range(FUNCTIONS) if len(hashes) >= width else ():
+            bodies = (t.as_buffer().to_pybytes() for t in batch.column("text"))
+            for keys, texts in _chunks(batch.column("key").to_pylist(), bodies):
+                hashes, starts = shingled(texts)
+                longest = int(np.diff(starts).max())
+                for f in range(FUNCTIONS):
                     values = _mixed(hashes ^ np.uint64(f * _MIX[0] & (1 << 64) - 1))
-                    low, at, high = compact_windows(values, width)
-                    # The function is part of the signature.
-                    sign = (values[at] & ~np.uint64(FUNCTIONS - 1)) | np.uint64(f)
-                    made.append((sign.view(np.int64), np.full(len(at), key), low, high))
-            cols = [np.concatenate(c) for c in zip(*made)] if made else [np.zeros(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32))], schema=schema)
+                    # The function is part of the signature, and no value is 0.
+                    values = (values & ~np.uint64(2 * FUNCTIONS - 1)) | np.uint64(FUNCTIONS + f)
+                    values[hashes == 0] = 0
+                    low, at, high = compact_windows(values, width, longest)
+                    doc = np.searchsorted(starts, at, "right") - 1
+                    begin = starts[doc]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(values[at].view(np.int64)), pa.array(np.array(keys, np.int64)[doc]),
+                        pa.array((low - begin).astype(np.int32)), pa.array((high - begin).astype(np.int32))], schema=schema)
 
     return docs.select("key", "text").mapInArrow(cut, "signature long, doc long, low int, high int")
 
@@ -171,7 +200,7 @@ def verified(docs: DataFrame, stretches: DataFrame, words: int = PASSAGE_WORDS,
             made = []
             for key, text, parts in zip(batch.column("key").to_pylist(), batch.column("text"),
                                         batch.column("spans").to_pylist()):
-                hashes = shingle_hashes(text.as_py()).view(np.int64)
+                hashes = shingled([text.as_buffer().to_pybytes()])[0].view(np.int64)
                 for part in parts:
                     at = np.arange(part["low"], part["high"] + 1)
                     made.append((np.full(len(at), key), at, hashes[at]))
@@ -183,18 +212,21 @@ def verified(docs: DataFrame, stretches: DataFrame, words: int = PASSAGE_WORDS,
     owners = shingles.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     shared = cut_lineage(shingles.join(owners, "h").select("doc", "at", "a"))
 
-    def runs(gap: int) -> DataFrame:
-        rows = _islands(shared, ["doc"], F.col("at"), F.col("at"), gap)
-        found = rows.groupBy("doc", "island").agg(
-            F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n_shared"),
-            F.sum((F.col("a") == F.col("doc")).cast("long")).alias("own"), F.min("a").alias("other"))
-        size = F.col("high") - F.col("low") + 1
-        return found.where((size >= width) & (F.col("n_shared") >= similarity * size))
-
-    # Runs with gaps, and whole runs that lie in a longer one too thin to count.
-    loose, strict = runs(GAP - 1), runs(0)
-    inside = strict.alias("s").join(loose.alias("l"), (F.col("s.doc") == F.col("l.doc"))
-                                    & (F.col("s.low") >= F.col("l.low")) & (F.col("s.high") <= F.col("l.high")), "left_anti")
+    # Whole runs first: one row each is left of the shingles.
+    strict = _islands(shared, ["doc"], F.col("at"), F.col("at")).groupBy("doc", "island").agg(
+        F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n_shared"),
+        F.sum((F.col("a") == F.col("doc")).cast("long")).alias("own")).drop("island")
+    strict = cut_lineage(strict)
+    loose = _islands(strict, ["doc"], F.col("low"), F.col("high"), GAP - 1).groupBy("doc", "island").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n_shared").alias("n_shared"),
+        F.sum("own").alias("own"))
+    size = F.col("high") - F.col("low") + 1
+    true = (size >= width) & (F.col("n_shared") >= similarity * size)
+    loose = cut_lineage(loose.where(true).drop("island"))
+    # And whole runs that lie in a longer one too thin to count.
+    inside = strict.where(true).alias("s").join(
+        loose.alias("l"), (F.col("s.doc") == F.col("l.doc")) & (F.col("s.low") >= F.col("l.low"))
+        & (F.col("s.high") <= F.col("l.high")), "left_anti")
     return loose.unionByName(inside).select(
         "doc", F.col("low").alias("start"), (F.col("high") + SHINGLE).alias("end"), "n_shared",
         (2 * F.col("own") > F.col("n_shared")).alias("first"))
@@ -206,14 +238,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     documents have too, as word spans; ``first`` where this document has most of it first,
     by key."""
     ship_package(docs.sparkSession)
-    pattern = r"[\x20\x09-\x0D]+"
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), body.alias("text"))
-    same = cut_lineage(base.select("key", F.xxhash64(F.trim(F.regexp_replace("text", pattern, " "))).alias("mark"),
-                                   F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n")))
-    kinds = same.groupBy("mark").agg(F.min("key").alias("one"), F.count_distinct("key").alias("copies"))
-    copies = cut_lineage(same.join(kinds.where("copies > 1"), "mark").where(F.col("n") >= words).select(
-        "key", "n", "one").distinct())
+    base = docs.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    same = cut_lineage(base.select("key", F.xxhash64("text").alias("mark")))
+    kinds = same.groupBy("mark").agg(F.min("key").alias("one"), F.max("key").alias("last")).where("one < last")
+    twins = broadcast_if_small(cut_lineage(same.join(kinds, "mark").select("key", "one").distinct()))
+    count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    copies = cut_lineage(base.join(twins, "key").select("key", count.alias("n"), "one").where(
+        F.col("n") >= words).distinct())
     others = copies.where("key <> one").select("key")
     single = base.join(broadcast_if_small(others), "key", "left_anti")
     found = verified(single, candidates(single, words), words, similarity)
