@@ -38,6 +38,7 @@ SIMILARITY = .8
 GAP = SHINGLE + 1
 # Texts whose windows are cut together, as arrays.
 CHUNK_BYTES = 1 << 20
+_BASE = 0x5851F42D4C957F2D
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -50,24 +51,51 @@ def _mixed(values):
     return x ^ (x >> np.uint64(31))
 
 
+_powers: dict[int, tuple] = {}
+
+
+def _power_table(size: int):
+    """Powers of an odd number and of its inverse (wrapping arithmetic)."""
+    import numpy as np
+    size = max(size, 2 * CHUNK_BYTES)
+    if size not in _powers:
+        _powers.clear()
+        _powers[size] = tuple(np.concatenate((
+            [np.uint64(1)], np.full(size, base, np.uint64))).cumprod(dtype=np.uint64)
+            for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _powers[size]
+
+
+def word_hashes(texts):
+    """A hash for every word of several texts, and the place where each text's words begin.
+
+    Words are numbers in base ``_BASE``, read off running sums over all bytes at once.
+    """
+    import numpy as np
+    data = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    power, inverse = _power_table(len(data))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)])))
+    values = (sums[end] - sums[begin]) * inverse[begin]
+    hashes = _mixed(values ^ (end - begin).astype(np.uint64))
+    at = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return hashes, np.searchsorted(begin, at)
+
+
 def shingled(texts):
     """Shingle hashes of several texts end to end, and the place where each text begins.
 
     Every word has a place; where no shingle of five words of its text begins, it is 0.
     """
     import numpy as np
-    from xxhash import xxh64_intdigest
-    words, starts = [], [0]
-    for text in texts:
-        words += text.lower().split()
-        starts.append(len(words))
-    h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    h, starts = word_hashes(texts)
     n = max(0, len(h) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         out = _mixed(out ^ h[k:k + n])
     out = np.concatenate((out | np.uint64(1), np.zeros(len(h) - n, np.uint64)))
-    starts = np.array(starts)
     for k in range(1, SHINGLE):
         last = starts[1:] - k
         out[last[last >= starts[:-1]]] = 0
