@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,13 +51,12 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder named by the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it.
 
     Only a local session may fall back to a temporary folder: on a cluster the
     folder has to be visible to every executor, so a missing setting is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,9 +65,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder")
             shared = tempfile.mkdtemp(prefix="postsift-checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table of their own in the shared folder, read again."""
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS,
                    size: int = BROADCAST_BYTES) -> bool:
     """Measure a side against both bounds, reading at most ``rows + 1`` rows."""
