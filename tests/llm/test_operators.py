@@ -300,7 +300,9 @@ def test_line_prints_against_python(spark, docs):
     for r in lines.prints(some, "doc_id", "text").collect():
         import regex
         norm = regex.sub(r"[^\p{L}\p{N}]+", " ", rows[r.key, r.line].lower()).strip()
-        h = [xxh64_intdigest(w.encode(), 42) for w in norm.split(" ")]
+        w = norm.split(" ")
+        h = [xxh64_intdigest(b.encode(), xxh64_intdigest(a.encode(), 42)) for a, b in zip(w, w[1:])]
+        h.append(xxh64_intdigest(w[-1].encode(), 42))
         want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
         assert r.fp & (1 << 64) - 1 == want
 
