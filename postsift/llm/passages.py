@@ -126,14 +126,15 @@ def compact_windows(values, width: int, longest: int | None = None):
     """
     import numpy as np
     n = len(values)
-    if n < width:
+    most = n if longest is None else min(n, longest)
+    if most < width:
         return (np.zeros(0, np.int64),) * 3
     bits = np.uint64(max(1, int(n - 1).bit_length()))
     place = np.arange(n, dtype=np.uint64)
     mask = (np.uint64(1) << bits) - np.uint64(1)
     # The lowest bit above the place keeps values apart from zeros.
     rank = np.where(values == 0, place, (values & ~mask) | (np.uint64(1) << bits) | place)
-    runs, most = [rank], min(n, longest or n)
+    runs = [rank]
     while 1 << len(runs) <= most:
         half, last = 1 << (len(runs) - 1), runs[-1]
         runs.append(np.minimum(last[:-half], last[half:]))

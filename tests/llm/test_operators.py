@@ -399,3 +399,9 @@ def test_planted_passages(spark):
     got = {(r.doc_id, r.start, r.end): r.first for r in passages.repeated_passages(df).collect()}
     assert got == {(1, 60, 112): True, (2, 0, 52): False, (3, 90, 180): True, (4, 0, 90): False,
                    (9, 0, 70): True, (10, 0, 70): False}
+
+
+def test_many_short_texts_have_no_passages(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(5 + i % 27))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert passages.repeated_passages(df).count() == 0
