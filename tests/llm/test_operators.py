@@ -405,3 +405,35 @@ def test_many_short_texts_have_no_passages(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(5 + i % 27))) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert passages.repeated_passages(df).count() == 0
+
+
+def test_passages_with_several_edits(spark):
+    random.seed(11)
+    some = lambda n: ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    edits = [(80, [40, 41]), (80, [38, 41]), (90, [30, 33, 34]), (160, [20, 21, 22, 23, 24, 25, 80, 84]), (75, [37])]
+    edits += [(50, [25]), (52, [10])] * 10
+    rows, want = [], set()
+    for k, (size, places) in enumerate(edits):
+        text = some(size)
+        changed = [f"new{k}x{i}" if i in places else w for i, w in enumerate(text)]
+        rows += [(2 * k, some(70) + text + some(60)), (2 * k + 1, some(30) + changed)]
+        want |= {(2 * k, 70, 70 + size), (2 * k + 1, 30, 30 + size)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.end) for r in passages.repeated_passages(df).collect()}
+    assert got == want
+
+
+def test_covered_runs_against_all_windows():
+    random.seed(12)
+    for _ in range(300):
+        shared = [random.random() < random.choice((.6, .8, .9)) for _ in range(120)]
+        edge = np.diff(np.array([0, *shared, 0]))
+        low, high = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+        held = set()
+        for i in low:
+            for j in high:
+                if j - i + 1 >= 20 and 10 * sum(shared[i:j + 1]) >= 8 * (j - i + 1):
+                    held |= set(range(i, j + 1))
+        first, last = passages.covered(low, high, 20, .8)
+        got = [x for a, b in zip(first, last) for x in range(low[a], high[b] + 1)]
+        assert len(got) == len(set(got)) and set(got) == held
