@@ -13,6 +13,9 @@ changes over ``TEMPLATE_PAGES`` or more different pages of the host belongs to t
 The main text is that of the article element (or main, or the body where there is none)
 without template slots and without elements that are navigation, headers, footers,
 sidebars, notices, adverts, forms, scripts or comments, by name or by class, id or role.
+A class, id or role counts as a whole, but for a number at its end: one of ``SKIPPED_WORDS``
+or of the compounds in ``SKIPPED_NAMES``. It never takes out html, body or a heading, and
+where nothing would be left of a page, names are not looked at.
 Headings inside an article's own header stay.
 
 Character references are decoded once, white space in a block becomes one space, blocks
@@ -53,7 +56,16 @@ SKIPPED_WORDS = frozenset(
     "promo promotion sponsor sponsored cookie cookies consent notice notices alert newsletter subscribe signup "
     "share sharing social related recommended comment comments disqus replies breadcrumb breadcrumbs popup modal "
     "overlay login search form contentinfo complementary masthead toolbar".split())
+SKIPPED_NAMES = frozenset(
+    "site-header site-footer site-nav site-navigation page-header page-footer main-nav main-navigation main-menu "
+    "nav-bar nav-menu top-bar ad-slot ad-banner ad-container ad-wrapper ad-unit cookie-notice cookie-banner "
+    "cookie-consent cookie-bar share-buttons share-bar share-links social-links social-share social-media "
+    "social-buttons related-posts related-articles related-links related-content recommended-posts "
+    "comment-list comment-form comments-area comments-section comments-list newsletter-signup newsletter-form "
+    "signup-form login-form search-form search-box search-bar left-sidebar right-sidebar sidebar-left "
+    "sidebar-right breadcrumb-nav promo-box alert-banner notice-banner modal-dialog disqus-thread".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NEVER_BY_NAME = HEADINGS | {"html", "body"}
 # A new element of the first kind ends an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -66,8 +78,19 @@ class Node:
         self.name, self.label, self.skip, self.items = name, label, skip, []
 
 
-def read(html: str) -> Node:
-    """Tree of block elements; ``items`` are nodes and strings of (undecoded) text."""
+def _told(name: str, words: list[str]) -> bool:
+    """Whether an element is to be skipped by its classes, id or role."""
+    if name in NEVER_BY_NAME:
+        return False
+    wholes = (re.sub(r"[-_]*\d+$", "", w).replace("_", "-") for w in words)
+    return any(w in SKIPPED_WORDS or w in SKIPPED_NAMES for w in wholes)
+
+
+def read(html: str, names: bool = True) -> Node:
+    """Tree of block elements; ``items`` are nodes and strings of (undecoded) text.
+
+    Without ``names`` no element is skipped by class, id or role.
+    """
     root = Node("#page", "#page", False)
     path, at = [root], 0
     while (m := _TOKEN.search(html, at)) is not None:
@@ -93,8 +116,7 @@ def read(html: str) -> Node:
         while len(path) > 1 and (path[-1].name == "p" or path[-1].name in HEADINGS or path[-1].name in ended):
             path.pop()
         words = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower().split()
-        skip = name in SKIPPED or any(
-            part in SKIPPED_WORDS for w in words for part in re.split(r"[^a-z]+", w)) or bool(
+        skip = name in SKIPPED or names and _told(name, words) or bool(
             re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
         node = Node(name, ".".join([name, *(re.sub(r"\d+", "0", w) for w in words[:2])]), skip)
         path[-1].items.append(node)
@@ -337,10 +359,13 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
             if w not in cache:
                 cache.clear() if len(cache) > 1000 else None
                 cache[w] = json.loads(w)
-            found = blocks(read(h.as_py() or ""), cache[w])
-            main = any(inside for _, _, inside in found)
-            out.append("\n".join(t for s, t, inside in found
-                                 if (inside or not main) and s not in gone))
+            for names in (True, False):
+                found = blocks(read(h.as_py() or "", names), cache[w])
+                main = any(inside for _, _, inside in found)
+                text = "\n".join(t for s, t, inside in found if (inside or not main) and s not in gone)
+                if text:
+                    break
+            out.append(text)
         return pa.array(out, pa.string())
 
     return _with_wrapper(pages, known, url, html).select(

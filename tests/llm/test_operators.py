@@ -358,6 +358,18 @@ def test_template_texts_without_an_article(spark):
     assert {r.text for r in pages.main_text(df).collect()} == {f"story {i}" for i in range(12)}
 
 
+@pytest.mark.parametrize("html, want", [
+    ('<article class="has-comments"><h2 id="related-work">Work</h2><p>a</p><h2 id="search">Search</h2></article>', "Work\na\nSearch"),
+    ('<article><section id="social-history"><p>a</p></section><div class="form-of-address">b</div></article>', "a\nb"),
+    ('<body class="no-sidebar"><p>a</p><div class="sidebar">s</div></body>', "a"),
+    ('<body class="sidebar"><div class="content with-sidebar"><p>a</p></div></body>', "a"),
+    ('<body><div class="sidebar"><p>a</p></div></body>', "a"),
+    ('<body><p>a</p><div id="cookie_notice">c</div><div class="ad-3">b</div><div id="comments-area">d</div></body>', "a")])
+def test_names_skip_as_a_whole(spark, html, want):
+    df = spark.createDataFrame([(1, "http://h/1", html)], "page_id long, url string, html string")
+    assert pages.main_text(df).first().text == want
+
+
 def test_wrapper_alignment():
     a = pages.shape(pages.read("<h1>x</h1><p>a</p><p>b</p>"))
     b = pages.shape(pages.read("<h1>x</h1><table></table><p>a</p>"))
