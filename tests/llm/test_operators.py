@@ -316,6 +316,24 @@ def test_repeated_lines_go(spark):
     assert got[3] in ("--", f"--\n{long} end of")
 
 
+def test_lines_of_one_fingerprint_meet_in_rounds(spark):
+    random.seed(21)
+    words = ["".join(random.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(16)]
+    kinds = []
+    for _ in range(7):
+        random.shuffle(words)
+        kinds.append(list(words))
+    # Two lines of each order: the second swaps two neighbours, so all fingerprints are equal.
+    rows = []
+    for k, order in enumerate(kinds):
+        other = [order[1], order[0], *order[2:]]
+        rows += [(2 * k, " ".join(order)), (2 * k + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lines.prints(df, "doc_id", "text").select("fp").distinct().count() == 1
+    got = {r.doc_id: r.dropped for r in lines.report(df).collect()}
+    assert got == {i: [0] if i % 2 else [] for i in range(14)}
+
+
 # Chats
 
 def test_snapshots_collapse(spark):
