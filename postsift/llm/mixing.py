@@ -27,8 +27,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postsift.llm.common import SPACE, WORD, packed, unique_name
-from postsift.session import broadcast_if_small, cut_lineage
+from postsift.llm.common import SPACE, WORD, packed
+from postsift.session import broadcast_if_small, cut_lineage, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -219,17 +219,33 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source",
     A part that holds all words of a document keeps its text as it is; another is the
     text from its first word to its last, with the white space between them.
     Length columns are left to the caller.
+
+    Slots are resolved on row numbers, sizes and hashes. Rows are stored once with their
+    number; a text moves once, to the short list of its parts, and is split once there.
     """
-    names, words = docs.columns, unique_name("_words", docs.columns)
-    sized = docs.withColumn(words, count_words(F.col(f"`{text}`")))
-    df = mix(sized, source, words, order, **options)
-    whole = (F.col("first") == 0) & (F.col("last") == F.col(f"row.{words}"))
-    runs = F.regexp_extract_all(F.col(f"row.{text}"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.ltrim(F.array_join(F.slice(runs, (F.col("first") + 1).cast("int"),
-                                       (F.col("last") - F.col("first")).cast("int")), ""))
-    cut = F.regexp_replace(cut, "^" + SPACE, "")
-    return df.select(*[(F.when(whole, F.col(f"row.`{n}`")).otherwise(cut) if n == text
-                        else F.col(f"row.`{n}`")).alias(n) for n in names])
+    names = docs.columns
+    numbered = stored(docs.select(packed(docs).alias("row"), F.monotonically_increasing_id().alias("line")))
+    body = F.col(f"row.`{text}`")
+    by = [c for c in order if c != text]
+    narrow = cut_lineage(numbered.select(
+        "line", F.col(f"row.`{source}`").alias("source"), F.xxhash64(body).alias("mark"),
+        count_words(body).alias("size"), *[F.col(f"row.`{c}`").alias(f"by{i}") for i, c in enumerate(by)]))
+    parts = mix(narrow, order=(*[f"by{i}" for i in range(len(by))], "mark"), **options).groupBy(
+        F.col("row.line").alias("line"), F.col("row.size").alias("size")).agg(
+        F.collect_list(F.struct("first", "last")).alias("parts"))
+
+    def part(runs, at):
+        said = F.array_join(F.slice(runs, (at["first"] + 1).cast("int"), (at["last"] - at["first"]).cast("int")), "")
+        return F.regexp_replace(said, "^" + SPACE, "")
+
+    whole = lambda at: (at["first"] == 0) & (at["last"] == F.col("size"))
+    runs = F.when(F.exists("parts", lambda at: ~whole(at)),
+                  F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)))
+    # The runs are one element of an array, so they are made once and not for each part.
+    texts = F.transform(F.array(runs), lambda one: F.transform(
+        "parts", lambda at: F.when(whole(at), body).otherwise(part(one, at))))[0]
+    met = numbered.join(parts, "line").select("row", F.explode(texts).alias("said"))
+    return met.select(*[(F.col("said") if n == text else F.col(f"row.`{n}`")).alias(n) for n in names])
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
