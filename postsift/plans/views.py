@@ -137,6 +137,14 @@ def seen_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc-"), F.substring(F.md5("text"), 1, 16)).alias("job_id")).distinct()
 
 
+def seen_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids with title and company, as listings of an earlier scan that stand."""
+    labels = load(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("seq"))
+    found = postings(spark, sf_dir).join(labels, "seq").select(
+        F.col("id").alias("job_id"), "title", "company").distinct()
+    return found.withColumns({"status": F.lit("NEW"), "discovered_at": F.timestamp_seconds(F.lit(1700000000))})
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(
         F.concat(F.lit("part-"), "p_partkey").alias("id"),
