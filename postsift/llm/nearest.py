@@ -33,8 +33,8 @@ from postsift.session import ship_package, stored
 PIVOTS = 24
 SAMPLE = 4096
 BLOCK = 2048
-QUERIES = 2048
-FIRST_CHUNK = 64
+QUERIES = 256
+FIRST_CHUNK = 128
 AT_ONCE = 64
 # Sums of products below this are exact in doubles.
 EXACT = 2.0 ** 53
@@ -71,12 +71,18 @@ def _same_width(a, b):
     return [np.pad(x, ((0, 0), (0, wide - x.shape[1]))) if x.shape[1] < wide else x for x in (a, b)]
 
 
+def fits_doubles(queries, candidates) -> bool:
+    """Whether all sums of products stay exact in doubles."""
+    import numpy as np
+    reach = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+    return reach(queries) * reach(candidates) * max(1, queries.shape[1]) < EXACT
+
+
 def scores(queries, candidates):
     """Inner products of whole vectors, exact, at the ends of a long where they pass them."""
     import numpy as np
     queries, candidates = _same_width(queries, candidates)
-    reach = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
-    if reach(queries) * reach(candidates) * max(1, queries.shape[1]) < EXACT:
+    if fits_doubles(queries, candidates):
         return (queries.astype(np.float64) @ candidates.astype(np.float64).T).astype(np.int64)
     exact = queries.astype(object) @ candidates.astype(object).T
     return np.clip(exact, -LONGEST - 1, LONGEST).astype(np.int64)
@@ -119,14 +125,20 @@ def search(q, q_far, q_norm, floor, c, c_far, c_norm, copies, k: int, at_once: i
     ``floor`` holds a score that each query's result reaches; candidates of an equal score stay.
     """
     import numpy as np
-    found = []
+    found = [[np.zeros(0, np.int64)] * 3]
     if not len(c) or not len(q):
-        return [np.zeros(0, np.int64)] * 3
+        return found[0]
+    q, c = _same_width(q, c)
+    exact = fits_doubles(q, c)
+    if exact:
+        q, c = q.astype(np.float64), c.astype(np.float64)
     for start in range(0, len(q), at_once):
         here = slice(start, start + at_once)
         low = np.zeros((len(q[here]), len(c)))
+        gap = np.empty_like(low)
         for p in range(q_far.shape[1]):
-            np.maximum(low, np.abs(q_far[here, p, None] - c_far[None, :, p]), out=low)
+            np.subtract(q_far[here, p, None], c_far[None, :, p], out=gap)
+            np.maximum(low, np.abs(gap, out=gap), out=low)
         with np.errstate(all="ignore"):
             low = np.maximum(low - 1e-9 * (q_far[here].max() + c_far.max()) - 1e-6, 0)
             bound = (q_norm[here, None] + c_norm[None, :] - low ** 2) / 2
@@ -136,16 +148,19 @@ def search(q, q_far, q_norm, floor, c, c_far, c_norm, copies, k: int, at_once: i
             at = start + i
             worst = floor[at]
             able = np.flatnonzero(row >= worst)
+            if not len(able):
+                continue
             able = able[np.argsort(-row[able], kind="stable")]
             kept_at, kept, done, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, FIRST_CHUNK
             while done < len(able) and row[able[done]] >= worst:
                 some = able[done:done + step]
-                done, step = done + step, 2 * step
-                got = scores(q[at:at + 1], c[some])[0]
-                kept_at = np.concatenate([kept_at, some[got >= worst]])
-                kept = np.concatenate([kept, got[got >= worst]])
-                worst = max(worst, kth_scores(kept[None, :], copies[kept_at], k)[0])
-                kept_at, kept = kept_at[kept >= worst], kept[kept >= worst]
+                done, step = done + step, 4 * step
+                got = (c[some] @ q[at]).astype(np.int64) if exact else scores(q[at:at + 1], c[some])[0]
+                good = got >= worst
+                if good.any():
+                    kept_at, kept = np.concatenate([kept_at, some[good]]), np.concatenate([kept, got[good]])
+                    worst = max(worst, kth_scores(kept[None, :], copies[kept_at], k)[0])
+                    kept_at, kept = kept_at[kept >= worst], kept[kept >= worst]
             found.append((np.full(len(kept), at), kept_at, kept))
     return [np.concatenate(x) for x in zip(*found)]
 
@@ -179,51 +194,62 @@ def _placed(vectors: DataFrame, pivots) -> DataFrame:
 
 
 def _pack(table) -> list:
-    """One row's values for PACKED."""
+    """The columns of PACKED, as Arrow arrays of one row."""
     import numpy as np
+    import pyarrow as pa
     far = _matrix(table.column("far"), np.float64)
     norms = table.column("norm").to_numpy()
-    return [table.column("no").to_pylist(), table.column("vector").to_pylist(), far.tolist(), norms.tolist(),
-            far.min(axis=0).tolist(), far.max(axis=0).tolist(), float(norms.max())]
+    longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
+    made = [(table.column("no").to_pylist(), longs), (table.column("vector").to_pylist(), pa.list_(longs)),
+            (far.tolist(), pa.list_(doubles)), (norms.tolist(), doubles), (far.min(axis=0).tolist(), doubles),
+            (far.max(axis=0).tolist(), doubles), (float(norms.max()), pa.float64())]
+    return [pa.array([value], kind) for value, kind in made]
 
 
 def _blocks(placed: DataFrame, total: int, k: int, block: int) -> DataFrame:
-    """Packed blocks of neighbouring vectors; ``asked`` lists (no, threshold) of the queries in them."""
+    """Packed blocks of neighbouring vectors; ``asked`` lists (no, threshold) of the queries in them.
+
+    Blocks are runs of ``block`` vectors in the order of pivot and distance, whatever the
+    number of partitions: places inside a partition and the sizes of those before it.
+    """
     from pyspark import TaskContext
 
-    def pack(batches):
+    def number(batches):
         import numpy as np
         import pyarrow as pa
-        held, part = None, TaskContext.get().partitionId()
-
-        def row(table):
-            c = _matrix(table.column("vector"), np.int64)
-            copies = np.array([len(x) for x in table.column("copies").to_pylist()])
-            nos, asked = table.column("no").to_numpy(), np.flatnonzero(table.column("asked").to_numpy(zero_copy_only=False))
-            floors = [kth_scores(scores(c[asked[s:s + AT_ONCE]], c), copies, k + 1)
-                      for s in range(0, len(asked), AT_ONCE)]
-            pairs = zip(nos[asked].tolist(), np.concatenate(floors).tolist() if floors else [])
-            made = pa.array([part], pa.int32()), *[pa.array([x]) for x in _pack(table)]
-            kind = pa.list_(pa.struct([("no", pa.int64()), ("floor", pa.int64())]))
-            return pa.RecordBatch.from_arrays(
-                [*made, pa.array([table.column("copies").to_pylist()], pa.list_(table.schema.field("copies").type)),
-                 pa.array([[{"no": n, "floor": f} for n, f in pairs]], kind)],
-                names=["part", "nos", "vectors", "distances", "norms", "low", "high", "top_norm", "copies", "asked"])
-
+        at, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            while held.num_rows >= block:
-                yield row(held.slice(0, block))
-                held = held.slice(block)
-        if held is not None and held.num_rows:
-            yield row(held)
+            places = np.arange(at, at + batch.num_rows)
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("no"), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(places)],
+                names=["no", "part", "at"])
+
+    def pack(table):
+        import numpy as np
+        import pyarrow as pa
+        c = _matrix(table.column("vector"), np.int64)
+        copies = np.array([len(x) for x in table.column("copies").to_pylist()])
+        nos, asked = table.column("no").to_numpy(), np.flatnonzero(table.column("asked").to_numpy())
+        floors = [kth_scores(scores(c[asked[s:s + AT_ONCE]], c), copies, k + 1) for s in range(0, len(asked), AT_ONCE)]
+        pairs = zip(nos[asked].tolist(), np.concatenate(floors).tolist() if floors else [])
+        kind = pa.list_(pa.struct([("no", pa.int64()), ("floor", pa.int64())]))
+        return pa.table(
+            [table.column("block").slice(0, 1), *_pack(table),
+             pa.array([table.column("copies").to_pylist()], pa.list_(table.schema.field("copies").type)),
+             pa.array([[{"no": n, "floor": f} for n, f in pairs]], kind)],
+            names=["block", "nos", "vectors", "distances", "norms", "low", "high", "top_norm", "copies", "asked"])
 
     parts = max(1, -(-total // block))
-    spread = placed.repartitionByRange(parts, "cell", "near", "no").sortWithinPartitions("cell", "near", "no")
-    packed = spread.mapInArrow(
-        pack, f"part int, {PACKED}, copies array<array<struct<none: boolean, id: bigint>>>, "
-              "asked array<struct<no: bigint, floor: bigint>>")
-    return stored(packed.withColumn("block", F.monotonically_increasing_id()))
+    spread = placed.select("no", "cell", "near").repartitionByRange(parts, "cell", "near", "no")
+    numbered = stored(spread.sortWithinPartitions("cell", "near", "no").mapInArrow(number, "no long, part int, at long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one short row a partition
+    offsets = numbered.groupBy("part").agg(F.count("*").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    places = numbered.join(offsets, "part").select("no", F.floor((F.col("offset") + F.col("at")) / block).alias("block"))
+    return stored(placed.join(places, "no").groupBy("block").applyInArrow(
+        pack, f"block long, {PACKED}, copies array<array<struct<none: boolean, id: bigint>>>, "
+              "asked array<struct<no: bigint, floor: bigint>>"))
 
 
 def _groups(placed: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
@@ -238,9 +264,8 @@ def _groups(placed: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
 
     def pack(table):
         import pyarrow as pa
-        made = [pa.array([x]) for x in _pack(table)]
         floor = table.column("floor").to_pylist()
-        return pa.table([*made, pa.array([floor], pa.list_(pa.int64())), pa.array([min(floor)], pa.int64())],
+        return pa.table([*_pack(table), pa.array([floor], pa.list_(pa.int64())), pa.array([min(floor)], pa.int64())],
                         names=["nos", "vectors", "distances", "norms", "low", "high", "top_norm", "floors", "least"])
 
     packed = queries.groupBy("cell", F.pmod(F.xxhash64("no"), split).alias("turn")).applyInArrow(
@@ -250,12 +275,12 @@ def _groups(placed: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
 
 def _meetings(groups: DataFrame, blocks: DataFrame) -> DataFrame:
     """(group, block) whose bound reaches the least threshold of the group."""
-    parts = blocks.agg(F.max("part")).first()[0]
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts or 0)))
+    last = blocks.agg(F.max("block")).first()[0]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last or 0).cast("long")))
     hull = lambda side: [F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high"),
                          F.col("top_norm").alias(f"{side}_norm")]
-    met = groups.select("group", "least", *hull("g"), every.alias("part")).join(
-        blocks.select("block", "part", *hull("b")), "part")
+    met = groups.select("group", "least", *hull("g"), every.alias("block")).join(
+        blocks.select("block", *hull("b")), "block")
     apart = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
     gaps = F.zip_with(apart("g_low", "b_high"), apart("b_low", "g_high"), lambda x, y: F.greatest(x, y))
     widest = F.greatest(F.array_max("g_high"), F.array_max("b_high"))
@@ -307,7 +332,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", ev
 
     left = meetings.join(groups.drop("low", "high", "top_norm", "least"), "group")
     right = meetings.toDF("to_group", "to_block").join(
-        blocks.drop("low", "high", "top_norm", "asked", "part"), F.col("to_block") == F.col("block"))
+        blocks.drop("low", "high", "top_norm", "asked"), F.col("to_block") == F.col("block"))
     found = left.groupBy("group", "block").cogroup(right.groupBy("to_group", "to_block")).applyInArrow(
         meet, "query long, no long, score long, copies array<struct<none: boolean, id: bigint>>")
     # The best vectors of a query, then their keys, one more than asked for: the row itself goes.
