@@ -18,6 +18,7 @@ from postsift.schema import (
     LEGACY_STATUS,
     LEGACY_STATUS_BECOMES,
     PURGE_DAYS,
+    REJECTS,
     SCAN_LOG,
     STATE,
     STATE_LOG,
@@ -149,6 +150,20 @@ class StateTables:
     def append_state(self, versions: DataFrame, batch_id: int, writer: str = STREAM) -> None:
         versions.write.mode("overwrite").parquet(self._folder("state", batch_id, writer))
 
+    def rejects(self) -> DataFrame:
+        """What cycles could not use, with the reason."""
+        return self._read("rejects", REJECTS, None)
+
+    def append_rejects(self, rows: DataFrame, batch_id: int, writer: str = STREAM) -> None:
+        rows.write.mode("overwrite").parquet(self._folder("rejects", batch_id, writer))
+
+    def quarantine(self, rows: DataFrame, batch_id: int) -> None:
+        """Keep the rows of a batch that failed as they landed, to be run again later."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/quarantine/batch_id={batch_id}")
+
+    def quarantined(self, batch_id: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/quarantine/batch_id={batch_id}")
+
     def append_scans(self, rows: DataFrame, batch_id: int, writer: str = STREAM) -> None:
         rows.write.mode("overwrite").parquet(self._folder("scans", batch_id, writer))
 

@@ -216,3 +216,14 @@ class Settings:
     junior_title_exclude_keywords: tuple[str, ...] | None = None
     junior_description_exclude_keywords: tuple[str, ...] | None = None
     as_of: datetime = datetime(2024, 1, 31, tzinfo=timezone.utc)
+
+# Sources whose landed responses are JSON.
+JSON_SOURCES = ["ats", "jobicy", "remoteok", "arbeitnow"]
+
+REJECTS = T.StructType([
+    T.StructField("payload_seq", T.LongType()),
+    T.StructField("platform_code", T.StringType()),
+    T.StructField("search_name", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("detail", T.StringType()),
+])

@@ -115,8 +115,8 @@ LINKEDIN = CardSpec("linkedin", h.tagged("div", "job-search-card"), _linkedin_fi
                     lambda c: c["id"].isNotNull() & (c["title"] != ""))
 
 
-def extract_details(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """Detail pages ``(id, body)`` to the columns that enrich a listing."""
+def extract_details(payloads: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
+    """Detail pages ``(id, body)`` to the columns that enrich a listing; ``keep`` names further ones."""
     nodes = F.col("nodes")
     items = F.transform(
         F.filter(nodes, h.tagged("li", "description__job-criteria-item")),
@@ -133,7 +133,7 @@ def extract_details(payloads: DataFrame, body: str = "body") -> DataFrame:
     markup = h.first_of(nodes, h.tagged("div", "show-more-less-html__markup"))
     top = h.first_of(nodes, h.tagged("img", "artdeco-entity-image"))
     return (payloads.withColumn("nodes", h.page_nodes(F.col(body))).select(
-        "id",
+        "id", *(keep or []),
         criteria.alias("detail_criteria"),
         tx.bind(markup, lambda n: F.when(
             n.isNotNull(), h.line_text(h.below(nodes, n)))).alias("detail_description"),

@@ -7,6 +7,7 @@ state is a table kept for ever, as parity demands, so it is joined inside
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -27,10 +28,21 @@ from postsift.operators.state import (
     seen_versions,
 )
 from postsift.plans.scan import scan
-from postsift.schema import LISTING, SCAN_LOG, Settings
+from postsift.schema import LISTING, REJECTS, SCAN_LOG, Settings
 from postsift.session import broadcast_if_small, ship_package
 from postsift.sources.profiles import effective_pages
 from postsift.sources.registry import SOURCES, union_sources
+from postsift.sources.rejects import (
+    BATCH_FAILED,
+    SHOWN,
+    SOURCE_FAILED,
+    lost_searches,
+    payload_reason,
+    payload_rejects,
+    reject_rows,
+)
+
+log = logging.getLogger("postsift")
 
 # What similarity dedup reads of the state.
 _TITLE_COLUMNS = ["title", "company", "status", "discovered_at"]
@@ -58,9 +70,9 @@ class Poller:
         started = time.monotonic()
         as_of = self.as_of or datetime.now(timezone.utc)
         settings = replace(self.settings, as_of=as_of)
-        log = self.tables.state_log(before=batch_id)
-        cycle = scan(listings, self.profiles, current_state(log, _TITLE_COLUMNS), settings,
-                     self.details, self.dedup, known_ids(log, listings))
+        states = self.tables.state_log(before=batch_id)
+        cycle = scan(listings, self.profiles, current_state(states, _TITLE_COLUMNS), settings,
+                     self.details, self.dedup, known_ids(states, listings))
         outcomes = cycle.outcomes.persist()
         try:
             columns = ["profile_ord", "embed_color", "webhook_url", "role_id_to_mention"]
@@ -68,26 +80,78 @@ class Poller:
                 broadcast_if_small(self.profiles.select(columns)), "profile_ord")
             write_alerts(alert_bodies(alert_envelopes(sent, settings)), self.alerts_root, batch_id)
             self.tables.append_state(seen_versions(outcomes, as_of, batch_id), batch_id)
-            log = cycle.counters.withColumns({
+            counters = cycle.counters.withColumns({
                 "timestamp": F.lit(as_of),
                 "duration_seconds": F.lit(time.monotonic() - started)})
             self.tables.append_scans(
-                log.select(*[F.col(f.name).cast(f.dataType) for f in SCAN_LOG.fields]), batch_id)
+                counters.select(*[F.col(f.name).cast(f.dataType) for f in SCAN_LOG.fields]), batch_id)
         finally:
             outcomes.unpersist()
             cycle.release()
 
     def run_payloads(self, payloads: DataFrame, batch_id: int) -> None:
-        """One cycle from raw responses: extract every registered source first."""
+        """One cycle from raw responses: extract every registered source first.
+
+        Responses that cannot be read, sources that fail and listings of lost searches are
+        written as rejects; the others go on.
+        """
         profiles = effective_pages(self.profiles, self.settings)
-        landed = {code: payloads.filter(F.col("platform_code") == code) for code in SOURCES}
-        # Parsed once: counted, matched against state and judged from the copy on disk.
-        listings = union_sources(landed, profiles).persist(StorageLevel.DISK_ONLY)
+        good = payloads.where(payload_reason().isNull())
+        landed = {code: good.filter(F.col("platform_code") == code) for code in SOURCES}
+        listings, failed = self._extracted(landed, profiles)
         try:
             self.run(listings, batch_id)
+            rejects = payload_rejects(payloads).unionByName(lost_searches(listings, self.profiles))
+            for code, error in failed.items():
+                rejects = rejects.unionByName(reject_rows(landed[code], F.lit(SOURCE_FAILED), F.lit(error)))
+            self.tables.append_rejects(rejects, batch_id)
         finally:
             listings.unpersist()
 
+    def _extracted(self, landed: dict[str, DataFrame], profiles: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+        """Listings of all sources, parsed once and kept on disk, and the errors of sources that failed.
+
+        All are read together; only where that fails is each tried on its own.
+        """
+        failed: dict[str, str] = {}
+        for retry in (False, True):
+            listings = None
+            try:
+                listings = union_sources(
+                    {code: rows for code, rows in landed.items() if code not in failed}, profiles).persist(StorageLevel.DISK_ONLY)
+                listings.count()
+                return listings, failed
+            except Exception as error:
+                if listings is not None:
+                    listings.unpersist()
+                if retry:
+                    raise
+                log.warning("sources are read one by one: %s", str(error)[:SHOWN])
+            for code, rows in landed.items():
+                try:
+                    union_sources({code: rows}, profiles).write.format("noop").mode("overwrite").save()
+                except Exception as error:
+                    failed[code] = str(error)[:SHOWN]
+        raise AssertionError("unreachable")
+
+
+def outliving(run: Callable[[DataFrame, int], None], tables: StateTables) -> Callable[[DataFrame, int], None]:
+    """``run`` for a query that goes on after a failed batch.
+
+    The batch's rows are kept as they landed, and a reject tells of them. Only the batch
+    is given up: ``run(tables.quarantined(n), n)`` repeats it under its own number.
+    """
+    def guarded(batch: DataFrame, batch_id: int) -> None:
+        try:
+            run(batch, batch_id)
+        except Exception as error:
+            log.exception("batch %s failed", batch_id)
+            tables.quarantine(batch, batch_id)
+            spark = batch.sparkSession
+            tables.append_rejects(spark.createDataFrame(
+                [(None, None, None, BATCH_FAILED, str(error)[:SHOWN])], REJECTS), batch_id)
+    return guarded
+
 
 def landed_files(spark: SparkSession, path: str, schema: StructType = LISTING,
                  file_format: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -102,7 +166,8 @@ def start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint:
           interval_minutes: int | None = None) -> StreamingQuery:
     """Run cycles every interval, or once over all that has landed when none is given.
 
-    A failed cycle is repeated on restart from the checkpoint under the same batch id.
+    A failed cycle ends the query and is repeated on restart from the checkpoint under the
+    same batch id; with ``outliving(run, tables)`` the query goes on.
     """
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if interval_minutes is None:
