@@ -229,16 +229,25 @@ class Encoder:
                          for p in self.marks.split(text) if p])
 
     def decode(self, ids, offsets) -> list[str]:
-        """Texts of the lists of ids that the offsets cut out of one array."""
+        """Texts of the lists of ids that the offsets cut out of one array.
+
+        Bytes of all tokens are gathered from one table of them; unknown ids give none.
+        """
         import numpy as np
+        import pyarrow as pa
         if self.table is None:
-            self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes, default=-1) + 1)]
-            self.lengths = np.array([len(b) for b in self.table], np.int64)
-        known = (ids >= 0) & (ids < len(self.table))
-        ids, offsets = ids[known], np.concatenate(([0], np.cumsum(known)))[offsets]
-        ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))[offsets].tolist()
-        whole = b"".join(map(self.table.__getitem__, ids.tolist()))
-        return [whole[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+            self.table = pa.array([self.bytes.get(i, b"") for i in range(max(self.bytes, default=-1) + 1)]
+                                  + [b""], pa.large_binary())
+        unknown = len(self.table) - 1
+        known = (ids >= 0) & (ids < unknown)
+        if not known.all():
+            ids = np.where(known, ids, unknown)
+        taken = self.table.take(pa.array(ids))
+        _, places, body = taken.buffers()
+        places = np.frombuffer(places, np.int64)[taken.offset:taken.offset + len(ids) + 1]
+        whole = memoryview(body) if body is not None else b""
+        ends = places[offsets].tolist()
+        return [str(whole[a:b], "utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
 class _Cache:
