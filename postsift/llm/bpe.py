@@ -42,6 +42,7 @@ NEVER = 1 << 60
 # depends on the edition of Unicode, so texts with those are split by the library itself.
 PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FIRST_UNSURE = "\u0500"
+MARKS = ".,;:!?\"'()[]{}#$%&*+-/<=>@\\^_`|~"
 
 
 def byte_letters() -> dict[str, int]:
@@ -87,6 +88,8 @@ class Encoder:
         for r, (a, b, made) in enumerate(vocabulary["rules"]):
             self.parts.setdefault(made, (a, b, r))
         self.known: dict[int, bool] = {}
+        # Edges by token, as many as the vocabulary has at most.
+        self.edges: tuple[dict, dict] = {}, {}
         usable = [i for i in sorted(self.bytes, key=lambda i: len(self.bytes[i])) if self._usable(i)]
         self.automaton = ahocorasick.Automaton()
         for i in usable:
@@ -102,31 +105,38 @@ class Encoder:
         self.words, self.pieces = _Cache(), _Cache()
         self.table = None
         self.pairs: dict[int, bool] = {}
+        self.line_feed = self._ids("\n")
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
-        """(piece, rank of the rule that uses it up) along an edge, the token itself first."""
-        edge, until = [(token, NEVER)], NEVER
-        while token in self.parts:
-            *pieces, until = self.parts[token]
-            token = pieces[side]
-            edge.append((token, until))
+        """(piece, rank of the rule that uses it up) along an edge, from the innermost to the token itself."""
+        edges = self.edges[side]
+        edge = edges.get(token)
+        if edge is None:
+            piece, until, edge = token, NEVER, [(token, NEVER)]
+            while piece in self.parts:
+                *pieces, until = self.parts[piece]
+                piece = pieces[side]
+                edge.append((piece, until))
+            edge.reverse()
+            edges[token] = edge
         return edge
 
     def _apart(self, left: int, right: int, until: int) -> bool:
         """Whether no rule below ``until`` joins the two tokens across their border."""
         one, two = self._edge(left, 1), self._edge(right, 0)
+        rank, i, j = self.rank.get, 0, 0
         while True:
-            (u, u_end), (v, v_end) = one[-1], two[-1]
-            joined = self.rank.get((u, v), NEVER)
+            (u, u_end), (v, v_end) = one[i], two[j]
+            joined = rank((u, v), NEVER)
             # At one rank the rule works from the left: first inside the left token.
             if joined < u_end and joined <= v_end and joined < until:
                 return False
             if u_end == v_end == NEVER:
                 return True
             if u_end <= v_end:
-                one.pop()
+                i += 1
             if v_end <= u_end:
-                two.pop()
+                j += 1
 
     def _usable(self, token: int) -> bool:
         """Whether the rules make this token out of its own bytes, shorter tokens first."""
@@ -139,25 +149,25 @@ class Encoder:
 
     def _word(self, word: str) -> list[int]:
         """Ids of a piece inside which the rules work without borders."""
-        raw = word.encode("utf-8").decode("latin-1")
+        raw = word if word.isascii() else word.encode("utf-8").decode("latin-1")
         pairs, sizes = self.pairs, self.sizes
-        last = [-1] * (len(raw) + 1)
+        # The last token of the prefix that ends with each character.
+        last = [-1] * len(raw)
         for end, token in self.automaton.iter(raw):
-            end += 1
             if last[end] < 0:
-                start = end - sizes[token]
-                if start:
-                    key = last[start] << 32 | token
+                before = end - sizes[token]
+                if before >= 0:
+                    key = last[before] << 32 | token
                     fits = pairs.get(key)
                     if fits is None:
                         if len(pairs) >= CACHE_ENTRIES:
                             pairs.clear()
-                        fits = pairs[key] = self._apart(last[start], token, NEVER)
+                        fits = pairs[key] = self._apart(last[before], token, NEVER)
                     if not fits:
                         continue
                 last[end] = token
-        ids, at = [], len(raw)
-        while at:
+        ids, at = [], len(raw) - 1
+        while at >= 0:
             token = last[at]
             ids.append(token)
             at -= sizes[token]
@@ -186,24 +196,26 @@ class Encoder:
         """Ids of a text without added tokens.
 
         A space between two characters that are not white space always begins a new
-        piece, and what follows is split without looking back; so the text is taken apart
-        there, and words are looked up. A text where white space meets white space goes
-        through its safe borders one by one.
+        piece, and a line feed there is one of its own; what follows is split without
+        looking back. So the text is taken apart there, and words are looked up. A text
+        where white space meets white space goes through its safe borders one by one.
         """
-        first, *words = text.split(" ")
-        if first and not first[-1].isspace():
-            found = list(map(self.words.young.get, words))
-            at = 0
-            try:
-                while True:
-                    at = found.index(None, at)
-                    ids = self._spaced(words[at])
+        get, made = self.words.young.get, []
+        for line in text.split("\n"):
+            if not line or line[0].isspace() or line[-1].isspace():
+                return b"".join(map(self._chunk, _safe_parts(text)))
+            first, *words = line.split(" ")
+            found = list(map(get, words))
+            if None in found:
+                for at, ids in enumerate(found):
                     if ids is None:
-                        return b"".join(map(self._chunk, _safe_parts(text)))
-                    found[at] = ids
-            except ValueError:
-                return self._chunk(first) + b"".join(found)
-        return b"".join(map(self._chunk, _safe_parts(text)))
+                        ids = self._spaced(words[at])
+                        if ids is None:
+                            return b"".join(map(self._chunk, _safe_parts(text)))
+                        found[at] = ids
+                get = self.words.young.get
+            made.append(self._first(first) + b"".join(found))
+        return self.line_feed.join(made)
 
     def _spaced(self, word: str) -> bytes | None:
         """Ids of a space and a word; None unless the word begins and ends without white space."""
@@ -211,16 +223,25 @@ class Encoder:
             return None
         found = self.words.get(word)
         if found is None:
-            if max(word) >= FIRST_UNSURE:
-                found = self._chunk(" " + word)
-            elif word.isalpha():
+            if word.isalpha() and max(word) < FIRST_UNSURE:
                 found = array("i", self._word(" " + word)).tobytes()
             else:
-                found = b"".join(map(self._ids, self.pattern.findall(" " + word)))
+                # Marks after letters are a piece of their own, so the letters are looked up alone.
+                letters = word.rstrip(MARKS)
+                if letters.isalpha() and max(letters) < FIRST_UNSURE:
+                    return self._spaced(letters) + self._ids(word[len(letters):])
+                found = self._chunk(" " + word)
             if len(word) <= CACHE_CHARS:
                 self.words.put(word, found)
         return found
 
+    def _first(self, word: str) -> bytes:
+        """Ids of a word at the beginning of a line."""
+        letters = word.rstrip(MARKS)
+        if letters.isalpha() and max(letters) < FIRST_UNSURE:
+            return self._ids(letters) + (self._ids(word[len(letters):]) if len(letters) < len(word) else b"")
+        return self._chunk(word)
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as int32 bytes."""
         if self.marks is None:
