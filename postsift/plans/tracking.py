@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 from decimal import Decimal
 
@@ -13,6 +14,7 @@ from postsift.plans import reference_sql as sql
 from postsift.plans import views
 from postsift.plans.registry import query
 from postsift.plans.scan import scanned_rows
+from postsift.session import shared_folder
 from postsift.sources.profiles import profiles_from_json
 from postsift.functions.text import snippet
 
@@ -74,6 +76,14 @@ def report_profiles(spark, sf_dir):
     return reports.profile_report(found)
 
 
+_UPSERT = f"""WITH {sql.TRACKED},
+again AS (SELECT CASE WHEN status = 'APPLIED' THEN 'n' || job_id ELSE job_id END AS job_id,
+    'Again' AS search_name, CASE WHEN status = 'NEW' THEN 'NEW' ELSE 'FILTERED' END AS status,
+    TIMESTAMP '2024-01-31 00:00:00' AS discovered_at,
+    CASE WHEN status = 'NEW' THEN TIMESTAMP '2024-01-31 00:00:00' END AS notified_at
+  FROM tracked WHERE platform = 'F')
+"""
+
 _SHOWN = """job_id, search_name, status, strftime(discovered_at, '%Y-%m-%d %H:%M:%S') AS discovered_at,
   strftime(notified_at, '%Y-%m-%d %H:%M:%S') AS notified_at"""
 
@@ -84,17 +94,9 @@ def _shown(df):
                      F.date_format("notified_at", _STAMP).alias("notified_at"))
 
 
-@query("state_upsert", f"""WITH {sql.TRACKED},
-again AS (SELECT CASE WHEN status = 'APPLIED' THEN 'n' || job_id ELSE job_id END AS job_id,
-    'Again' AS search_name, CASE WHEN status = 'NEW' THEN 'NEW' ELSE 'FILTERED' END AS status,
-    TIMESTAMP '2024-01-31 00:00:00' AS discovered_at,
-    CASE WHEN status = 'NEW' THEN TIMESTAMP '2024-01-31 00:00:00' END AS notified_at
-  FROM tracked WHERE platform = 'F')
-SELECT {_SHOWN} FROM (SELECT * FROM again UNION ALL
-  SELECT job_id, search_name, status, discovered_at, notified_at FROM tracked
-  WHERE job_id NOT IN (SELECT job_id FROM again))""")
-def state_upsert(spark, sf_dir):
-    """Listings of one platform come again; those applied for come under a new id."""
+def _tracked_again(spark, sf_dir):
+    """The state, and versions of one platform's listings that come again; those applied for
+    come under a new id."""
     tracked = views.tracked(spark, sf_dir)
     applied = F.col("status") == "APPLIED"
     outcomes = tracked.filter("platform = 'F'").select(
@@ -102,11 +104,52 @@ def state_upsert(spark, sf_dir):
         F.lit("Again").alias("search_name"), "title", "company", "location",
         F.col("url").alias("job_url"), "platform",
         F.when(F.col("status") == "NEW", "NEW").otherwise("FILTERED").alias("status"))
-    log = st.as_versions(tracked, F.col("discovered_at")).unionByName(
-        st.seen_versions(outcomes, LATER))
+    return st.as_versions(tracked, F.col("discovered_at")), st.seen_versions(outcomes, LATER)
+
+
+@query("state_upsert", f"""{_UPSERT}
+SELECT {_SHOWN} FROM (SELECT * FROM again UNION ALL
+  SELECT job_id, search_name, status, discovered_at, notified_at FROM tracked
+  WHERE job_id NOT IN (SELECT job_id FROM again))""")
+def state_upsert(spark, sf_dir):
+    """Listings of one platform come again; those applied for come under a new id."""
+    tracked, again = _tracked_again(spark, sf_dir)
+    log = tracked.unionByName(again)
     return _shown(st.current_state(log))
 
 
+def _folded_state(spark, sf_dir):
+    """The same in three batches of which two are in runs and one is not."""
+    tracked, again = _tracked_again(spark, sf_dir)
+    tables = st.StateTables(spark, f"{shared_folder(spark).rstrip('/')}/state-{uuid.uuid4().hex}")
+    # The later half of the rows of a platform that comes again stays loose.
+    half = F.pmod(F.xxhash64("job_id"), F.lit(2)) == 0
+    for at, rows in enumerate([tracked, again.where(half), again.where(~half)]):
+        tables.fold(at)
+        tables.append_state(rows, at)
+    return tables
+
+
+@query("state_runs", f"""{_UPSERT}
+SELECT {_SHOWN} FROM (SELECT * FROM again UNION ALL
+  SELECT job_id, search_name, status, discovered_at, notified_at FROM tracked
+  WHERE job_id NOT IN (SELECT job_id FROM again))""")
+def state_runs(spark, sf_dir):
+    """The state read from runs and loose batches is that of the whole log."""
+    return _shown(_folded_state(spark, sf_dir).state())
+
+
+@query("known_in_runs", f"""{_UPSERT}
+SELECT job_id FROM again UNION SELECT job_id FROM tracked WHERE status = 'NEW'""")
+def known_in_runs(spark, sf_dir):
+    """Which listings of a batch the state holds, asked of runs and loose batches."""
+    tracked, again = _tracked_again(spark, sf_dir)
+    new = F.col("status") == "NEW"
+    landed = again.select("job_id").union(tracked.where(new).select("job_id")).union(
+        tracked.where(new).select(F.concat(F.lit("unknown "), "job_id")))
+    return _folded_state(spark, sf_dir).known(landed.withColumnRenamed("job_id", "id"))
+
+
 @query("status_update", f"""WITH {sql.TRACKED},
 u AS (SELECT CASE WHEN platform = 'P' THEN 'x' || job_id ELSE job_id END AS job_id,
   ['APPLIED', 'HIDDEN', 'applied', 'OFFER'][o_orderkey % 4 + 1] AS new_status FROM tracked)

@@ -23,6 +23,8 @@ def build_session(app: str = "postsift", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Lists of ids reach the Bloom filters of Parquet as values, not as a range.
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
         .config("spark.ui.enabled", "false")
     )
     if master:

@@ -24,7 +24,6 @@ from postsift.operators.similar import greedy_dedup
 from postsift.operators.state import (
     StateTables,
     current_state,
-    known_ids,
     seen_versions,
 )
 from postsift.plans.scan import scan
@@ -60,6 +59,8 @@ class Poller:
     # None reads the clock once per batch.
     as_of: datetime | None = None
     dedup: Callable[[DataFrame, DataFrame], DataFrame] = greedy_dedup
+    # Batches of state that wait before they are folded into a run; None folds none.
+    fold_every: int | None = 64
 
     def __post_init__(self):
         ship_package(self.profiles.sparkSession)
@@ -70,9 +71,12 @@ class Poller:
         started = time.monotonic()
         as_of = self.as_of or datetime.now(timezone.utc)
         settings = replace(self.settings, as_of=as_of)
+        # Earlier batches are done once this one starts.
+        if self.fold_every:
+            self.tables.fold(batch_id, self.fold_every)
         states = self.tables.state_log(before=batch_id)
         cycle = scan(listings, self.profiles, current_state(states, _TITLE_COLUMNS), settings,
-                     self.details, self.dedup, known_ids(states, listings))
+                     self.details, self.dedup, self.tables.known(listings, batch_id))
         outcomes = cycle.outcomes.persist()
         try:
             columns = ["profile_ord", "embed_color", "webhook_url", "role_id_to_mention"]

@@ -193,3 +193,77 @@ def test_one_detail_page_for_each_listing(spark):
                                      "detail_applicants string, detail_logo_url string")
     assert {(r.id, r.detail_description) for r in latest_details(df).collect()} == {
         ("1", "new"), ("2", "only")}
+
+
+def versions(spark, ids, when, status="NEW"):
+    return state.as_versions(tracked(spark, *[(i, "T", "C", status, when) for i in ids]), F.lit(when))
+
+
+def test_runs_hold_what_the_batches_hold(spark, tmp_path):
+    tables, plain = (state.StateTables(spark, str(tmp_path / n), buckets=4) for n in ("runs", "plain"))
+    for batch in range(12):
+        ids = [str(i) for i in range(batch * 5, batch * 5 + 8)]
+        when = NOW + timedelta(hours=batch)
+        rows = versions(spark, ids, when, "NEW" if batch % 2 else "FILTERED")
+        if batch == 7:
+            # A removal in a later run hides the user's change.
+            rows = rows.unionByName(state.as_versions(plain.state().where("job_id = '3'"), F.lit(when), 9, True))
+        for each in (tables, plain):
+            each.append_state(rows, batch)
+            if batch == 5:
+                each.append_state(state.set_status(each.state(), "3", "APPLIED", when, 1), 0, state.USER)
+        tables.fold(batch + 1, loose=2)
+        assert statuses(tables.state(before=batch + 1)) == statuses(plain.state(before=batch + 1))
+    assert "3" not in statuses(tables.state())
+    # Geometric sizes keep the runs few; states of earlier batches can still be read.
+    assert len(tables.runs()) <= 3 and tables.runs()[0].last == 11
+    assert statuses(tables.state(before=4)) == statuses(plain.state(before=4))
+    assert tables.state_log().count() < plain.state_log().count()
+    # A repeated fold finds nothing to do, a run that was not written whole is not read.
+    assert tables.fold(12) == []
+    (tmp_path / "runs" / "runs" / "0-99-4").mkdir()
+    assert statuses(tables.state()) == statuses(plain.state())
+
+
+def statuses(rows):
+    return {r.job_id: r.status for r in rows.collect()}
+
+
+def test_given_up_batches_are_in_no_run(spark, tmp_path):
+    tables = state.StateTables(spark, str(tmp_path), buckets=2)
+    for batch in (0, 1, 3, 4, 5):
+        tables.append_state(versions(spark, [str(batch)], NOW), batch)
+    # Batch 2 failed before its state was written, batch 4 after it.
+    for batch in (2, 4):
+        tables.quarantine(spark.range(1), batch)
+    assert {(r.first, r.last) for r in tables.fold(6)} == {(0, 1), (3, 3), (5, 5)}
+    for batch in (2, 4):
+        tables.append_state(versions(spark, [f"again {batch}"], NOW), batch)
+    assert set(statuses(tables.state())) == {"0", "1", "3", "5", "again 2", "again 4"}
+
+
+def read_rows(df):
+    """Rows that the scans of a plan without exchanges hand on."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_a_batch_reads_a_small_part_of_a_run(spark, tmp_path):
+    tables = state.StateTables(spark, str(tmp_path), buckets=16)
+    ids = spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("job_id"))
+    tables.append_state(state.as_versions(
+        spark.createDataFrame([], STATE).unionByName(ids, allowMissingColumns=True), F.lit(NOW)), 0)
+    tables.fold(1)
+    rows = [listing(id=r.job_id) for r in ids.limit(2).collect()] + [listing(id="new")]
+    few = spark.createDataFrame(rows, LISTING)
+    assert {r.job_id for r in tables.known(few).collect()} == {r.id for r in few.collect()} - {"new"}
+    asked = few.select(F.col("id").alias("job_id"))
+    assert read_rows(tables.asked_rows(asked)) < 200_000 / 4
+    # Ids that the state does not hold are ruled out by the filters of the row groups.
+    fresh = spark.range(20).select(F.concat(F.lit("a new one "), "id").alias("job_id"))
+    assert read_rows(tables.asked_rows(fresh)) < 200_000 / 4
+    # More ids than are handed to the scan: folders only, and the same answer.
+    many = ids.limit(3_000).union(fresh).select(F.col("job_id").alias("id"))
+    assert tables.known(many).count() == 3_000
