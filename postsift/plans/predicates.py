@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postsift.functions import rules
 from postsift.functions.text import age_hours, as_of_literal
+from postsift.operators.routing import routes
 from postsift.plans import reference_sql as sql
 from postsift.plans import views
 from postsift.plans.registry import query
@@ -74,6 +75,16 @@ def rule_chain(spark, sf_dir):
                          F.col("v.arg").alias("arg"))
 
 
+@query("profile_routes", f"""
+WITH {sql.POSTINGS}, {sql.PROFILES},
+judged AS (SELECT seq, profile_ord, {sql.CHAIN} AS verdict
+  FROM postings JOIN profile_sources USING (platform_code))
+SELECT DISTINCT seq, profile_ord FROM judged WHERE {sql.code_of('verdict')} = 'PASS'""")
+def profile_routes(spark, sf_dir):
+    """The searches that take each listing, from one automaton over all their keywords."""
+    return routes(views.postings(spark, sf_dir), views.profiles(spark), as_of(), ["seq"])
+
+
 @query("profile_match", f"""
 WITH {sql.POSTINGS}, {sql.PROFILES}
 SELECT seq, id, search_name, profile_ord, platform_ord, platform_code
