@@ -51,12 +51,12 @@ def text_words(key, text: str | None, damage: int | None = None) -> dict[bytes,
     if damage is None:
         return runs
     start = crc32(f"{'' if key is None else key}:".encode())
-    hashes = ((run, crc32(run, start)) for run in list(runs))
-    for run, h in hashes:
-        if h % damage == 0:
-            whole = run.decode()
-            at = h % len(whole)
-            runs[(whole[:at] + whole[at + 1:]).encode()] += runs.pop(run)
+    hit = [(run, h) for run in runs if (h := crc32(run, start)) % damage == 0]
+    # All are taken out first: what one becomes may be another, which is damaged only as it stood.
+    taken = [(run.decode(), h, runs.pop(run)) for run, h in hit]
+    for whole, h, n in taken:
+        at = h % len(whole)
+        runs[(whole[:at] + whole[at + 1:]).encode()] += n
     return runs
 
 

@@ -186,6 +186,12 @@ def test_vocabulary_equals_restatement(spark):
     assert {r.word: r.n for r in spelling.vocabulary(df, damage=7).collect()} == want
 
 
+def test_damaged_runs_that_become_other_runs():
+    # Under key 34406 both runs are damaged, and the longer becomes the shorter.
+    got = spelling.text_words(34406, "aaaaaaaa " * 5 + "aaaaaaa " * 6, spelling.DAMAGE)
+    assert got == {b"a" * 7: 5, b"a" * 6: 6}
+
+
 def test_spelling_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.variants(spelling.vocabulary(none)).count() == 0
