@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,22 @@ def test_company_list(spark):
 
 def test_fixture_boards_cover_registry(spark):
     assert set(views.BOARDS) < set(SOURCES)
+
+
+def _differences(spark, folder, names, pages):
+    """Queries over a table of (page_id, url, html) beside their SQL: what differs."""
+    import __spark_entry__ as entry
+    from compare import difference
+
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(
+        f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    found = {n: difference(entry.queries()[n](spark, str(folder)), con, entry.oracle_sql()[n]) for n in names}
+    return {n: d for n, d in found.items() if d}
+
+
+def test_links_of_letters_without_a_single_upper_case(spark, tmp_path):
+    links = "".join(f'<a href="/{w}">{w}</a>' for w in ["ßenkeit", "aßen", "ßa-ßb-7", "ﬁnal", "ᾳbcd", "İstan", "ŉabc"])
+    pages = [(1, "https://a.org/de/1", f'<html lang="de"><nav>{links}</nav></html>')]
+    assert not _differences(spark, tmp_path, ["anchor_slug"], pages)
