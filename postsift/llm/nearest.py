@@ -5,7 +5,7 @@ to some pivots (the origin and vectors far from each other, taken from a bounded
 they steer the search and never the result). By the triangle inequality the largest
 difference of two vectors' distances to one pivot is a lower bound of their distance, and
 with both norms an upper bound of their inner product. Candidates are evaluated in the order
-of that bound until the next one cannot reach the worst score kept.
+of that bound, some queries at once, as long as one can reach a query's worst score kept.
 
 Equal vectors are one candidate with its ``k + 1`` smallest keys, and one query, so a vector
 that a third of all rows share costs no more than any other. Candidates are packed, by
@@ -119,10 +119,27 @@ def kth_scores(found, copies, k: int):
     return np.where(enough.any(axis=1), found[np.arange(len(found)), at], -LONGEST - 1)
 
 
+def best_of(at, to, score, copies, k: int, worst):
+    """What reaches each query's ``k``-th best score so far, to which ``worst`` is raised in place."""
+    import numpy as np
+    order = np.lexsort((-score, at))
+    at, to, score = at[order], to[order], score[order]
+    sums = np.cumsum(copies[to])
+    first = np.searchsorted(at, np.arange(len(worst)))
+    before = np.concatenate(([0], sums))[first]
+    # The place where a query's copies reach k, if that is still its own.
+    place = np.searchsorted(sums, before + k)
+    enough = np.flatnonzero(place < np.append(first[1:], len(at)))
+    worst[enough] = np.maximum(worst[enough], score[place[enough]])
+    fine = score >= worst[at]
+    return [at[fine], to[fine], score[fine]]
+
+
 def search(q, q_far, q_norm, floor, c, c_far, c_norm, copies, k: int, at_once: int = AT_ONCE):
     """(query places, candidate places, scores) that may be among the ``k`` best of each query.
 
     ``floor`` holds a score that each query's result reaches; candidates of an equal score stay.
+    Queries go on together: in the order of the best bound that any of them has.
     """
     import numpy as np
     found = [[np.zeros(0, np.int64)] * 3]
@@ -144,24 +161,22 @@ def search(q, q_far, q_norm, floor, c, c_far, c_norm, copies, k: int, at_once: i
             bound = (q_norm[here, None] + c_norm[None, :] - low ** 2) / 2
             bound += 1 + 1e-9 * (q_norm[here, None] + c_norm[None, :])
         bound[np.isnan(bound)] = np.inf
-        for i, row in enumerate(bound):
-            at = start + i
-            worst = floor[at]
-            able = np.flatnonzero(row >= worst)
-            if not len(able):
+        worst = floor[here].copy()
+        reach = (bound - worst[:, None]).max(axis=0)
+        able = np.flatnonzero((bound >= worst[:, None]).any(axis=0))
+        able = able[np.argsort(-reach[able], kind="stable")]
+        kept, done, step = [np.zeros(0, np.int64)] * 3, 0, FIRST_CHUNK
+        while done < len(able):
+            some = able[done:done + step]
+            done, step = done + step, 4 * step
+            live = np.flatnonzero((bound[:, some] >= worst[:, None]).any(axis=1))
+            if not len(live):
                 continue
-            able = able[np.argsort(-row[able], kind="stable")]
-            kept_at, kept, done, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, FIRST_CHUNK
-            while done < len(able) and row[able[done]] >= worst:
-                some = able[done:done + step]
-                done, step = done + step, 4 * step
-                got = (c[some] @ q[at]).astype(np.int64) if exact else scores(q[at:at + 1], c[some])[0]
-                good = got >= worst
-                if good.any():
-                    kept_at, kept = np.concatenate([kept_at, some[good]]), np.concatenate([kept, got[good]])
-                    worst = max(worst, kth_scores(kept[None, :], copies[kept_at], k)[0])
-                    kept_at, kept = kept_at[kept >= worst], kept[kept >= worst]
-            found.append((np.full(len(kept), at), kept_at, kept))
+            got = q[start + live] @ c[some].T if exact else scores(q[start + live], c[some])
+            row, column = np.nonzero(got >= worst[live, None])
+            kept = [np.concatenate(x) for x in zip(kept, (live[row], some[column], got[row, column].astype(np.int64)))]
+            kept = best_of(*kept, copies, k, worst)
+        found.append((start + kept[0], kept[1], kept[2]))
     return [np.concatenate(x) for x in zip(*found)]
 
 

@@ -70,6 +70,23 @@ def test_bounds_leave_nothing_out():
         assert sorted(score[at == i])[-5:] == sorted((c @ q[i]).tolist())[-5:]
 
 
+def test_queries_meet_candidates_together(monkeypatch):
+    calls, plain = [], nearest.scores
+    monkeypatch.setattr(nearest, "scores", lambda q, c: calls.append(len(q)) or plain(q, c))
+    rng = np.random.default_rng(5)
+    c = rng.integers(-2 ** 30, 2 ** 30, (300, 8))  # products past exact doubles, so all go through scores
+    q, copies = c[:50], rng.integers(1, 4, 300)
+    pivots = nearest.choose_pivots(c, 6)
+    far = lambda x: nearest.distances(x, pivots)
+    lowest = np.full(50, -2 ** 63)
+    at, to, score = nearest.search(q, far(q), far(q)[:, 0] ** 2, lowest, c, far(c), far(c)[:, 0] ** 2, copies, 5)
+    worst = nearest.kth_scores(plain(q, c), copies, 5)
+    want = {(i, j) for i, j in zip(*np.nonzero(plain(q, c) >= worst[:, None]))}
+    assert set(zip(at.tolist(), to.tolist())) == want
+    assert (score == plain(q, c)[at, to]).all()
+    assert len(calls) < 10 and (lowest == -2 ** 63).all()
+
+
 def words_of(text):
     return [w.decode() for w in ranking.text_terms(text)]
 
