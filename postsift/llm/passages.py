@@ -21,9 +21,10 @@ passage have none. Words are lower-cased (A-Z) and parted by white space; signat
 shingles are 64-bit hashes. Rows with equal keys are one document; null keys take no part,
 as a result names documents by key.
 
-Signatures are pre-aggregated before they are shuffled, so a passage that a third of all
-documents have is one row a task; windows meet shared signatures in a join that adaptive
-execution may split. No pairs of documents are formed.
+Windows and shingles move once, to where their hash is, and what others have too moves on to
+its document; neither is kept on disk in between. A passage that a third of all documents
+have is a row of each of them in the task of its hash, of which only the smallest and the
+largest document are asked for. No pairs of documents are formed.
 """
 
 from __future__ import annotations
@@ -183,6 +184,12 @@ def _windows(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(cut, "signature long, doc long, low int, high int")
 
 
+def _in_several(df: DataFrame, by: str) -> DataFrame:
+    """Rows whose ``by`` more than one ``doc`` has, with the smallest such ``a``; they move once."""
+    along = Window.partitionBy(by)
+    return df.withColumn("a", F.min("doc").over(along)).withColumn("b", F.max("doc").over(along)).where("a < b").drop("b")
+
+
 def _islands(df: DataFrame, by: list[str], low: Column, high: Column) -> DataFrame:
     """Intervals of each group numbered by island: those that touch are one."""
     order = Window.partitionBy(*by).orderBy("low", "high")
@@ -195,11 +202,8 @@ def _islands(df: DataFrame, by: list[str], low: Column, high: Column) -> DataFra
 
 def candidates(docs: DataFrame, words: int = PASSAGE_WORDS, enough: int = ENOUGH) -> DataFrame:
     """(doc, low, high): stretches of shingles that windows of enough functions cover."""
-    windows = _windows(docs, words)
-    shared = windows.groupBy("signature").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
-    met = windows.join(shared.select("signature"), "signature", "left_semi").select(
+    met = _in_several(_windows(docs, words), "signature").select(
         "doc", F.col("signature").bitwiseAND(F.lit(FUNCTIONS - 1)).alias("f"), "low", "high")
-    met = cut_lineage(met)
     merged = _islands(met, ["doc", "f"], F.col("low"), F.col("high")).groupBy("doc", "f", "island").agg(
         F.min("low").alias("low"), F.max("high").alias("high"))
     steps = merged.select("doc", F.explode(F.array(
@@ -267,8 +271,7 @@ def verified(docs: DataFrame, stretches: DataFrame, words: int = PASSAGE_WORDS,
                 [pa.array(c.astype(np.int64)) for c in cols], names=["doc", "at", "h"])
 
     shingles = asked.select("key", "text", "spans").mapInArrow(cut, "doc long, at long, h long")
-    owners = shingles.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
-    shared = cut_lineage(shingles.join(owners, "h").select("doc", "at", "a"))
+    shared = _in_several(shingles, "h").select("doc", "at", "a")
 
     # One row is left of each run of shingles; the runs of a document are looked at together.
     strict = _islands(shared, ["doc"], F.col("at"), F.col("at")).groupBy("doc", "island").agg(
