@@ -22,7 +22,7 @@ shingles are 64-bit hashes. Rows with equal keys are one document; null keys tak
 as a result names documents by key.
 
 Windows and shingles move once, to where their hash is, and what others have too moves on to
-its document; neither is kept on disk in between. A passage that a third of all documents
+its document. A passage that a third of all documents
 have is a row of each of them in the task of its hash, of which only the smallest and the
 largest document are asked for. No pairs of documents are formed.
 """
@@ -204,6 +204,7 @@ def candidates(docs: DataFrame, words: int = PASSAGE_WORDS, enough: int = ENOUGH
     """(doc, low, high): stretches of shingles that windows of enough functions cover."""
     met = _in_several(_windows(docs, words), "signature").select(
         "doc", F.col("signature").bitwiseAND(F.lit(FUNCTIONS - 1)).alias("f"), "low", "high")
+    met = cut_lineage(met)
     merged = _islands(met, ["doc", "f"], F.col("low"), F.col("high")).groupBy("doc", "f", "island").agg(
         F.min("low").alias("low"), F.max("high").alias("high"))
     steps = merged.select("doc", F.explode(F.array(
@@ -271,7 +272,7 @@ def verified(docs: DataFrame, stretches: DataFrame, words: int = PASSAGE_WORDS,
                 [pa.array(c.astype(np.int64)) for c in cols], names=["doc", "at", "h"])
 
     shingles = asked.select("key", "text", "spans").mapInArrow(cut, "doc long, at long, h long")
-    shared = _in_several(shingles, "h").select("doc", "at", "a")
+    shared = cut_lineage(_in_several(shingles, "h").select("doc", "at", "a"))
 
     # One row is left of each run of shingles; the runs of a document are looked at together.
     strict = _islands(shared, ["doc"], F.col("at"), F.col("at")).groupBy("doc", "island").agg(
